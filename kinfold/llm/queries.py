@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, quality
+from . import langid, linededup, mixing, pii, quality, simhash
 from .common import documents
 
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _over_documents(quality.query),
         "op2_mix_sources": _over_documents(mixing.query),
+        "op3_simhash": _over_documents(simhash.query),
+        "op4_pii": _over_documents(pii.query),
         "op7_line_dedup": _over_documents(linededup.query),
         "op10_language_id": _over_documents(langid.query),
     }
