@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, pii, quality, simhash
+from . import langid, linededup, mixing, pii, quality, simhash, substring
 from .common import documents
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": _over_documents(mixing.query),
         "op3_simhash": _over_documents(simhash.query),
         "op4_pii": _over_documents(pii.query),
+        "op6_substring_dedup": _over_documents(substring.query),
         "op7_line_dedup": _over_documents(linededup.query),
         "op10_language_id": _over_documents(langid.query),
     }
@@ -28,5 +29,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.SQL,
+        "op6_substring_dedup": substring.SQL,
         "op7_line_dedup": linededup.SQL,
     }
