@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, pii, quality, simhash, substring
+from . import langid, linededup, mixing, pii, quality, simhash, substring, suffix
 from .common import documents
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pii": _over_documents(pii.query),
         "op6_substring_dedup": _over_documents(substring.query),
         "op7_line_dedup": _over_documents(linededup.query),
+        "op8_suffix_dedup": _over_documents(suffix.query),
         "op10_language_id": _over_documents(langid.query),
     }
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.SQL,
         "op6_substring_dedup": substring.SQL,
         "op7_line_dedup": linededup.SQL,
+        "op8_suffix_dedup": suffix.SQL,
     }

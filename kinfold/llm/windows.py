@@ -108,11 +108,15 @@ def self_repeats(hashes: np.ndarray, window: int, k: int, anchors: np.ndarray, s
 
 def window_hashes(hashes: np.ndarray, window: int, k: int, start: int, size: int) -> np.ndarray:
     """Hash of each window of one stretch; with the anchor it stands for the window's content."""
+    return window_sums(hashes[start : start + size + window - k], window, k)
+
+
+def window_sums(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
+    """The same for all windows of a sequence of gram hashes."""
     w = window - k + 1
-    part = hashes[start : start + size + w - 1]
-    up, down = _powers_to(len(part) + 1)
-    sums = np.append(np.uint64(0), np.cumsum(part * up[:-1], dtype=np.uint64))
-    return mixed((sums[w:] - sums[:-w]) * down[:size]).view(np.int64)
+    up, down = _powers_to(len(hashes) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(hashes * up[:-1], dtype=np.uint64))
+    return mixed((sums[w:] - sums[:-w]) * down[: len(hashes) - w + 1]).view(np.int64)
 
 
 def _bloom_places(keys: np.ndarray) -> list[np.ndarray]:
