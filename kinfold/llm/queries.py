@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, pii, quality, simhash, substring, suffix
+from . import langid, linededup, mixing, pii, quality, simhash, substring, suffix, toxicity
 from .common import documents
 
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": _over_documents(substring.query),
         "op7_line_dedup": _over_documents(linededup.query),
         "op8_suffix_dedup": _over_documents(suffix.query),
+        "op9_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op10_language_id": _over_documents(langid.query),
     }
 
