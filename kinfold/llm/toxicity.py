@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import id_fold
 
-MAX_LABELLED = 40_000
+MAX_LABELLED = 12_000
 MAX_TERMS = 3_000
 #: A term must be labelled this often, and this far from chance (likelihood ratio).
 MIN_TOXIC = 4
