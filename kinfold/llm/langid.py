@@ -145,5 +145,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose text has a language: all but those found ``und``."""
     names = docs.columns
     prototypes = learn_prototypes(docs.filter(id_fold("doc_id", 4) != 2))
-    known = identify(docs, prototypes).filter("lang_pred <> 'und'").select(F.col("doc_id").alias("_known")).distinct()
-    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("_known")), "left_semi").select(*names)
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    unknown = identify(keyed.select(F.col("_key").alias("doc_id"), "text"), prototypes).filter("lang_pred = 'und'")
+    return keyed.join(unknown.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*names)

@@ -223,6 +223,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     return drop_lines(docs, stage(count_lines(docs), "line-counts"), min_docs)
 
 
+def without_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
+    """The documents with their common lines dropped and n_chars, where there is one, brought up to
+    date; the other columns as they are. Texts without such lines stay as they are, null included."""
+    names = docs.columns
+    cut = dedup_lines(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), min_docs).filter("n_dropped > 0")
+    cut = cut.select(F.col("doc_id").alias("_key"), F.col("text").alias("_kept")).dropDuplicates(["_key"])
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(cut, "_key", "left").withColumn("text", F.coalesce("_kept", "text"))
+    if "n_chars" in names:
+        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*names)
+
+
 def query(docs: DataFrame) -> DataFrame:
     """op7: doc_id, n_lines, n_dropped, kept_sha256."""
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

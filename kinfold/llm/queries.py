@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, linededup, mixing, pii, quality, simhash, substring, suffix, toxicity
+from . import decontam, langid, linededup, mixing, pii, quality, simhash, substring, suffix, toxicity
 from .common import documents
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": _over_documents(mixing.query),
         "op3_simhash": _over_documents(simhash.query),
         "op4_pii": _over_documents(pii.query),
+        "op5_decontamination": lambda spark, sf_dir: decontam.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
         "op6_substring_dedup": _over_documents(substring.query),
         "op7_line_dedup": _over_documents(linededup.query),
         "op8_suffix_dedup": _over_documents(suffix.query),
