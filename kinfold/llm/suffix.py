@@ -22,16 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import stage, unstage
 from .grouping import suffix_arrays
 from .substring import covered
-from .windows import byte_grams, keyed, mixed, release, repeated_stretches, window_hashes, window_sums
+from .windows import by_anchor, byte_grams, keyed, mixed, release, repeated_stretches, window_hashes, window_sums
 
 WINDOW = 50
 GRAM = 16
 CAP = 1000
-#: Bytes of stretches that a task works on at a time, about.
-BATCH = 2 << 20
 #: Symbols of one suffix array, about: parts of larger groups are dealt out by what they hold.
 BLOCK = 1500
 _LEAST = -(1 << 63)
@@ -136,30 +134,13 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
 
 
 def _shared_rows(window: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table) -> pa.RecordBatch:
-            a, s, d = (table.column(c).to_numpy() for c in ("a", "s", "d"))
-            masks = shared_windows(table.column("data").to_pylist(), a, d, window)
-            some = masks != 0
-            return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(s[some]), pa.array(masks[some])], ["a", "s", "mask"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                held.append(batch.slice(at, 5000))
-                if sum(x.column("data").nbytes for x in held) < BATCH:
-                    continue
-                table = pa.Table.from_batches(held).combine_chunks()
-                anchors = table.column("a").to_numpy()
-                cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
-                if cut:
-                    yield work(table.slice(0, cut))
-                    held = table.slice(cut).combine_chunks().to_batches()
-        if held and sum(x.num_rows for x in held):
-            yield work(pa.Table.from_batches(held).combine_chunks())
+    def masks_of(table: pa.Table) -> pa.RecordBatch:
+        a, s, d = (table.column(c).to_numpy() for c in ("a", "s", "d"))
+        masks = shared_windows(table.column("data").to_pylist(), a, d, window)
+        some = masks != 0
+        return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(s[some]), pa.array(masks[some])], ["a", "s", "mask"])
 
-    return rows
+    return by_anchor(masks_of)
 
 
 def earlier_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
@@ -173,7 +154,9 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> Da
     kinds = stage(kinds.select("a", "s", F.col("at.doc_id").alias("d"), "at.key", "at.start", "n", (F.col("most") > F.col("at.doc_id")).alias("more")), "stretch-kinds")
     release(spark)
     several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    parts = kinds.join(several, "a").groupBy("key").agg(F.collect_list(F.struct("a", "s", "m", "d", "start", "n")).alias("parts"))
+    parts = stage(kinds.join(several, "a").select("a", "s", "m", "d", "key", "start", "n"), "stretch-parts")
+    release(spark)
+    parts = parts.groupBy("key").agg(F.collect_list(F.struct("a", "s", "m", "d", "start", "n")).alias("parts"))
     # A row repeated as a whole yields its contents again, with the same id: that changes no minimum.
     contents = docs.join(parts, "key").select(F.col("text").cast("binary").alias("text"), "parts").mapInArrow(_contents(window, cap), "a long, s long, d long, j int, h long, data binary")
     contents = stage(contents, "stretch-contents")
@@ -185,8 +168,10 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> Da
     least = large.groupBy("a", "h").agg(F.min("d").alias("least"), F.max("d").alias("_most")).filter("least < _most").select("a", "h", "least")
     large = large.join(least, ["a", "h"]).filter("d > least").groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     masks = stage(masks.unionByName(large).groupBy("a", "s").agg(F.bit_or("mask").alias("mask")), "masks")
+    unstage(contents)
     release(spark)
     settled = stage(kinds.join(masks, ["a", "s"], "left").filter("more or mask is not null").select("a", "s", "d", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "settled")
+    unstage(kinds)
     release(spark)
     out = found.join(settled, ["a", "s"]).select("key", "start", "n", F.when(F.col("doc_id") > F.col("d"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask"))
     return out.filter("mask <> 0")

@@ -18,22 +18,33 @@ _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bits of the fixed-size Bloom filter (8 MB): the same at every input size.
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 2
+#: Bytes of stretches that a task works on at a time, about.
+BATCH = 2 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xCA5A826395121157)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xCA5A826395121157)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mixed(a * np.uint64(0x9FB21C651E98DF25) + b)
-
-
-def grams(tokens: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-grams of ``tokens`` (k a power of two), by doubling."""
-    now, width = tokens, 1
+    """One hash of two neighbours, in few passes."""
+    x = a * np.uint64(0x9FB21C651E98DF25)
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def grams(tokens: np.ndarray, k: int, width: int = 1) -> np.ndarray:
+    """Hashes of the k-grams of a text by doubling, from those of ``width`` tokens (k / width a power of two)."""
+    now = tokens
     while width < k:
         now = _joined(now[:-width], now[width:])
         width *= 2
@@ -41,17 +52,11 @@ def grams(tokens: np.ndarray, k: int) -> np.ndarray:
 
 
 def byte_grams(data: bytes, k: int) -> np.ndarray:
-    """Hashes of the k-byte strings (k a power of two, 8 at least) of ``data``."""
-    raw = np.frombuffer(data, np.uint8)
-    eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, 8)).view("<u8").ravel()
-    return mixed(eight) if k == 8 else grams_of(eight, 8, k)
-
-
-def grams_of(now: np.ndarray, width: int, k: int) -> np.ndarray:
-    while width < k:
-        now = _joined(now[:-width], now[width:])
-        width *= 2
-    return now
+    """Hashes of the k-byte strings (k a power of two, 16 at least) of ``data``."""
+    eight = np.empty(len(data) - 7, np.uint64)
+    for r in range(min(8, len(eight))):
+        eight[r::8] = np.frombuffer(data, "<u8", (len(data) - r) // 8, r)
+    return grams(eight, k, 8)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -96,6 +101,12 @@ def stretches(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.n
     return least[starts].view(np.int64), content.view(np.int64), starts, sizes
 
 
+def anchors_of(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
+    """The anchors of a text's runs of windows with one anchor."""
+    least = sliding_min(hashes, window - k + 1)
+    return least[np.append(True, least[1:] != least[:-1])].view(np.int64)
+
+
 def self_repeats(hashes: np.ndarray, window: int, k: int, anchors: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether a stretch holds its anchor twice or more: only then can two of its own windows be equal."""
     out = np.zeros(len(anchors), bool)
@@ -168,10 +179,10 @@ def _anchor_rows(hashes_of, window: int, k: int, own: bool):
             found = []
             for text in batch.column(0).to_pylist():
                 if len(h := hashes_of(text)) >= window - k + 1:
-                    a, _, start, n = stretches(h, window, k)
-                    found.append(a)
                     if own:
+                        a, _, start, n = stretches(h, window, k)
                         found.append(a[self_repeats(h, window, k, a, start, n)])
+                    found.append(anchors_of(h, window, k))
             if found:
                 anchors, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(np.minimum(counts, 2).astype(np.int8))], ["a", "n"])
@@ -206,18 +217,48 @@ def repeated_stretches(docs: DataFrame, hashes_of, window: int, k: int, own: boo
     """doc_id, key, a, s, start, n: the stretches (of ``keyed`` documents) whose anchor occurs in more
     than one stretch, and a few more that the Bloom filter lets through. No repeated window is lost.
     ``own``: also stretches that repeat their anchor themselves, marked by a column of that name."""
-    from .common import stage
+    from .common import stage, unstage
 
     anchors = docs.select("text").mapInArrow(_anchor_rows(hashes_of, window, k, own), "a long, n tinyint")
     again = stage(anchors.groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a"), "anchors")
     held = docs.sparkSession.sparkContext.broadcast(bloom(again))
+    unstage(again)
+    release(docs.sparkSession)
     rows = docs.select("doc_id", "key", "text").mapInArrow(_stretch_rows(hashes_of, window, k, own, held), "doc_id long, key long, a long, s long, start int, n int" + ", own boolean" * own)
     return stage(rows, "stretches")
 
 
+def by_anchor(work):
+    """A mapInArrow function over rows sorted by ``a`` (with bytes ``data``): calls ``work`` with tables of
+    about BATCH bytes that hold all rows of their anchors."""
+    import pyarrow as pa
+
+    def rows(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 5000):
+                held.append(batch.slice(at, 5000))
+                if sum(x.column("data").nbytes for x in held) < BATCH:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                anchors = table.column("a").to_numpy()
+                cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
+                if cut:
+                    yield work(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+        if sum(x.num_rows for x in held):
+            yield work(pa.Table.from_batches(held).combine_chunks())
+
+    return rows
+
+
 def release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over, before the next ones write theirs."""
+    """Let Spark's cleaner drop the shuffle files of jobs that are over before the next ones write
+    theirs: it does so once the driver has collected what belonged to those jobs."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
