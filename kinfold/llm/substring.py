@@ -8,7 +8,8 @@ last the window itself, only what is repeated at one length is looked at at twic
 * whole stretches that are identical settle all their windows at once; only one of each is
   extended further.
 * 16 and 32 words, then the window: the windows of stretches whose anchor has several stretches are
-  counted by the hash of their first 16 words, the survivors by 32, the survivors by all.
+  counted by the hash of their first 16 words, the survivors by 32, the survivors by all; in one task
+  for each anchor, or by partial aggregation for anchors of more than ``cap`` distinct stretches.
 
 A word is removed if a window that covers it starts anywhere else too, in the same document or
 another. Windows are judged on the input. Texts with fewer words lose nothing; null texts are empty.
@@ -23,11 +24,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
-from .windows import grams, keyed, release, repeated_stretches, window_hashes
+from .common import stage, unstage
+from .windows import by_anchor, grams, keyed, release, repeated_stretches, window_hashes, window_sums
 
 WINDOW = 35
 GRAM = 8
+#: Distinct stretches of one anchor that are brought together in one task.
+CAP = 1000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -47,46 +50,90 @@ def _levels(window: int) -> list[int]:
     return [x for x in out if x < window] + [window]
 
 
-def _window_rows(levels: list[int]):
+def _contents(levels: list[int], cap: int):
+    """Of each distinct stretch that has company: its gram hashes, or for large anchors a row for each
+    window with its hash at every level."""
     window = levels[-1]
 
     def rows(batches):
         for batch in batches:
-            out = []
+            plain, wide = [], []
             for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = word_hashes(text)
-                hashes = grams(words, GRAM)
+                hashes = _gram_hashes(text)
                 for p in parts:
-                    n, start = p["n"], p["start"]
-                    cols = [window_hashes(hashes[: len(hashes)], length, GRAM, start, n) for length in levels]
-                    out.append((np.full(n, p["a"]), np.full(n, p["s"]), np.arange(n, dtype=np.int32), *cols))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "s", "j", *(f"h{x}" for x in levels)])
+                    start, n = p["start"], p["n"]
+                    if p["m"] <= cap:
+                        plain.append((p["a"], p["s"], hashes[start : start + n + window - GRAM].tobytes()))
+                    else:
+                        cols = [window_hashes(hashes, length, GRAM, start, n).tolist() for length in levels]
+                        wide += [(p["a"], p["s"], j, list(h)) for j, h in enumerate(zip(*cols, strict=True))]
+            cols = [
+                pa.array([r[0] for r in plain] + [r[0] for r in wide], pa.int64()),
+                pa.array([r[1] for r in plain] + [r[1] for r in wide], pa.int64()),
+                pa.array([None] * len(plain) + [r[2] for r in wide], pa.int32()),
+                pa.array([r[2] for r in plain] + [None] * len(wide), pa.binary()),
+                pa.array([None] * len(plain) + [r[3] for r in wide], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["a", "s", "j", "data", "h"])
 
-    assert window > GRAM
     return rows
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, start, mask: bit j of the mask tells that the window of ``keyed`` documents at word start + j
-    is repeated."""
-    levels = _levels(window)
+def level_masks(data: list[bytes], anchors: np.ndarray, levels: list[int]) -> np.ndarray:
+    """One mask per stretch: bit j is set if its window j is repeated among those of its anchor. The
+    windows are counted at each level's length, and those alone at one length go no further."""
+    window = levels[-1]
+    buffer = np.frombuffer(b"".join(data), np.uint64)
+    ends = np.cumsum([len(x) // 8 for x in data])
+    begins = np.append(0, ends[:-1])
+    row = np.repeat(np.arange(len(data)), ends - begins)
+    group = np.cumsum(np.append(True, anchors[1:] != anchors[:-1])).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)
+    alive = np.flatnonzero(np.arange(len(buffer)) + window - GRAM < ends[row])
+    for length in levels:
+        if len(alive):
+            hashes = window_sums(buffer, length, GRAM).view(np.uint64)[alive] + group[row[alive]]
+            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            alive = alive[times[back] > 1]
+    masks = np.zeros(len(data), np.int64)
+    np.bitwise_or.at(masks, row[alive], np.int64(1) << (alive - begins[row[alive]]))
+    return masks
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
+    """key, start, n, mask: bit j of the mask tells that the window of ``keyed`` documents at word
+    start + j is repeated."""
+    spark, levels = docs.sparkSession, _levels(window)
     found = repeated_stretches(docs, _gram_hashes, window, GRAM, own=True)
-    kinds = stage(found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("at"), F.first("n").alias("n"), F.max("own").alias("own")), "stretch-kinds")
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("o")).filter("m > 1 or o").select("a")
-    parts = kinds.join(several, "a").groupBy("at.key").agg(F.collect_list(F.struct("a", "s", F.col("at.start").alias("start"), "n")).alias("parts"))
-    # Rows repeated as a whole have one key; each window of theirs counts once more for each, and they are repeated anyway.
-    texts = docs.join(parts, "key").select("text", "parts")
-    schema = "a long, s long, j int, " + ", ".join(f"h{x} long" for x in levels)
-    windows = texts.mapInArrow(_window_rows(levels), schema)
-    for x in levels:
-        windows = stage(windows, f"windows-{x}") if x == levels[0] else windows
-        again = windows.groupBy("a", f"h{x}").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
-        windows = windows.join(again, ["a", f"h{x}"])
-    bit = F.expr("shiftleft(1L, j)")
-    masks = windows.groupBy("a", "s").agg(F.bit_or(bit).alias("mask"))
+    release(spark)
+    kinds = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("at"), F.first("n").alias("n"), F.max("own").alias("own"))
+    kinds = stage(kinds, "stretch-kinds")
+    release(spark)
+    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("o")).filter("m > 1 or o").select("a", "m")
+    parts = kinds.join(several, "a").groupBy("at.key").agg(F.collect_list(F.struct("a", "s", "m", F.col("at.start").alias("start"), "n")).alias("parts"))
+    # Rows repeated as a whole have one key; their windows count once more for each, and they are repeated anyway.
+    contents = docs.join(parts, "key").select("text", "parts").mapInArrow(_contents(levels, cap), "a long, s long, j int, data binary, h array<long>")
+    contents = stage(contents, "stretch-contents")
+    release(spark)
+    small = contents.filter("data is not null").select("a", "s", "data")
+    small = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s")
+
+    def masks_of(table: pa.Table) -> pa.RecordBatch:
+        a, s = (table.column(c).to_numpy() for c in ("a", "s"))
+        masks = level_masks(table.column("data").to_pylist(), a, levels)
+        some = masks != 0
+        return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(s[some]), pa.array(masks[some])], ["a", "s", "mask"])
+
+    masks = small.mapInArrow(by_anchor(masks_of), "a long, s long, mask long")
+    large = contents.filter("h is not null").select("a", "s", "j", "h")
+    for i in range(len(levels)):
+        again = large.groupBy("a", F.col("h")[i].alias("x")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+        large = large.withColumn("x", F.col("h")[i]).join(again, ["a", "x"]).drop("x")
+    large = large.groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
     whole = kinds.filter("c > 1").select("a", "s", F.lit(-1).cast("long").alias("mask"))
-    masks = stage(masks.unionByName(whole).groupBy("a", "s").agg(F.bit_or("mask").alias("mask")), "masks")
+    masks = stage(masks.unionByName(large).unionByName(whole).groupBy("a", "s").agg(F.bit_or("mask").alias("mask")), "masks")
+    unstage(contents)
+    unstage(kinds)
+    release(spark)
     return found.join(masks, ["a", "s"]).select("key", "start", "n", "mask")
 
 
@@ -108,7 +155,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed."""
     rows = keyed(docs)
     spans = repeated_windows(rows, window).groupBy("key").agg(F.collect_set(F.struct("start", "n", "mask")).alias("spans"))
-    release(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
