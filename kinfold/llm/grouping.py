@@ -26,20 +26,21 @@ def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Suffix arrays of the texts symbols[offsets[b]:offsets[b+1]], one after the other, as positions
     in ``symbols``. Each text must end with a symbol that is smaller than all its others."""
     n, lengths = len(symbols), np.diff(offsets)
-    block = np.repeat(np.arange(len(lengths)), lengths)
-    low = offsets[block]
-    order = np.lexsort((symbols, block))
+    block = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    low = offsets[block].astype(np.int32)
+    order = np.lexsort((symbols, block)).astype(np.int32)
     new = np.append(True, (symbols[order][1:] != symbols[order][:-1]) | (block[order][1:] != block[order][:-1])) if n else np.zeros(0, bool)
     begins = np.flatnonzero(new)
-    group = np.empty(n, np.int64)  # of each suffix: where its group begins in the order
+    group = np.empty(n, np.int32)  # of each suffix: where its group begins in the order
     group[order] = np.repeat(begins, np.diff(np.append(begins, n)))
-    size = np.zeros(n + 1, np.int64)
+    size = np.zeros(n + 1, np.int32)
     size[begins] = np.diff(np.append(begins, n))
-    place = np.empty(n, np.int64)
+    place = np.empty(n, np.int32)
     place[order] = np.arange(n)
-    left = np.arange(-1, n - 1)  # nearest suffix to the left in a lower group, once the group was taken
+    left = np.arange(-1, n - 1, dtype=np.int32)  # nearest suffix to the left in a lower group, once the group was taken
     moved = np.zeros(n, bool)
 
+    del block, new
     top = offsets[1:].copy()
     open_ = np.flatnonzero(top > offsets[:-1])
     while len(open_):
@@ -82,8 +83,8 @@ def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         size[target[part]] = counts
         group[p] = np.repeat(target[part], counts)
 
-    out = np.full(n, -1, np.int64)
-    free = np.arange(n + 1)  # next place of each group
+    out = np.full(n, -1, np.int32)
+    free = np.arange(n + 1, dtype=np.int32)  # next place of each group
     placed = np.zeros(n, bool)
     full = np.flatnonzero(lengths > 0)
     out[offsets[full]] = offsets[full + 1] - 1

@@ -58,15 +58,15 @@ def _contents(levels: list[int], cap: int):
     def rows(batches):
         for batch in batches:
             plain, wide = [], []
-            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            offsets, fields = list_columns(batch.column(1), ["a", "s", "m", "start", "n"])
+            for i, text in enumerate(batch.column(0).to_pylist()):
                 hashes = _gram_hashes(text)
-                for p in parts:
-                    start, n = p["start"], p["n"]
-                    if p["m"] <= cap:
-                        plain.append((p["a"], p["s"], hashes[start : start + n + window - GRAM].tobytes()))
+                for a, s, m, start, n in zip(*(f[offsets[i] : offsets[i + 1]].tolist() for f in fields), strict=True):
+                    if m <= cap:
+                        plain.append((a, s, hashes[start : start + n + window - GRAM].tobytes()))
                     else:
                         cols = [window_hashes(hashes, length, GRAM, start, n).tolist() for length in levels]
-                        wide += [(p["a"], p["s"], j, list(h)) for j, h in enumerate(zip(*cols, strict=True))]
+                        wide += [(a, s, j, list(h)) for j, h in enumerate(zip(*cols, strict=True))]
             cols = [
                 pa.array([r[0] for r in plain] + [r[0] for r in wide], pa.int64()),
                 pa.array([r[1] for r in plain] + [r[1] for r in wide], pa.int64()),
@@ -137,17 +137,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> D
     return found.join(masks, ["a", "s"]).select("key", "start", "n", "mask")
 
 
-def covered(spans: list[dict] | None, n_tokens: int, window: int) -> np.ndarray:
-    """Which tokens the marked windows cover."""
-    if not spans or n_tokens < window:
-        return np.zeros(n_tokens, bool)
+def list_columns(column: pa.ListArray, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets, and each named field of a column of lists of structs as one array; cheaper than a dict for each."""
+    values = column.values
+    return column.offsets.to_numpy(), [values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def covered(starts: np.ndarray, sizes: np.ndarray, masks: np.ndarray, n_tokens: int, window: int) -> np.ndarray:
+    """Which tokens of a text the marked windows of its stretches cover."""
     edges = np.zeros(n_tokens + 1, np.int64)
-    for s in spans:
-        mask, n = s["mask"], s["n"]
-        bits = np.arange(n) if mask == -1 else np.flatnonzero((np.int64(mask) >> np.arange(n)) & 1)
-        at = bits + s["start"]
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + window, -1)
+    for start, size, mask in zip(starts.tolist(), sizes.tolist(), masks.tolist(), strict=True):
+        if mask == -1:  # all windows of the stretch
+            edges[start] += 1
+            edges[start + size + window - 1] -= 1
+        else:
+            at = start + np.flatnonzero((mask >> np.arange(size)) & 1)
+            edges[at] += 1
+            edges[at + window] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -159,9 +165,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches):
         for batch in batches:
             texts, total, gone = [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            offsets, marks = list_columns(batch.column(2), ["start", "n", "mask"])
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 words = text.encode().split()
-                drop = covered(found, len(words), window)
+                drop = covered(*(m[offsets[i] : offsets[i + 1]] for m in marks), len(words), window)
                 total.append(len(words))
                 gone.append(int(drop.sum()))
                 texts.append(b" ".join([w for w, d in zip(words, drop.tolist(), strict=True) if not d] if gone[-1] else words).decode())

@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stage, unstage
 from .grouping import suffix_arrays
-from .substring import covered
+from .substring import covered, list_columns
 from .windows import by_anchor, byte_grams, keyed, mixed, release, repeated_stretches, window_hashes, window_sums
 
 WINDOW = 50
 GRAM = 16
-CAP = 1000
+CAP = 4000
 #: Symbols of one suffix array, about: parts of larger groups are dealt out by what they hold.
 BLOCK = 1500
 _LEAST = -(1 << 63)
@@ -45,18 +45,18 @@ def _contents(window: int, cap: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, s, d, j, h, data = [], [], [], [], [], []
-            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            offsets, fields = list_columns(batch.column(1), ["a", "s", "m", "d", "start", "n"])
+            for row, text in enumerate(batch.column(0).to_pylist()):
                 hashes = None
-                for p in parts:
-                    start, n = p["start"], p["n"]
-                    if p["m"] <= cap:
-                        a.append(p["a"]), s.append(p["s"]), d.append(p["d"]), j.append(n), h.append(None)
+                for anchor, content, m, doc, start, n in zip(*(f[offsets[row] : offsets[row + 1]].tolist() for f in fields), strict=True):
+                    if m <= cap:
+                        a.append(anchor), s.append(content), d.append(doc), j.append(n), h.append(None)
                         data.append(text[start : start + n + window - 1])
                         continue
                     if hashes is None:
                         hashes = byte_hashes(text)
                     for i, x in enumerate(window_hashes(hashes, window, GRAM, start, n).tolist()):
-                        a.append(p["a"]), s.append(p["s"]), d.append(p["d"]), j.append(i), h.append(x), data.append(None)
+                        a.append(anchor), s.append(content), d.append(doc), j.append(i), h.append(x), data.append(None)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(j, pa.int32()), pa.array(h, pa.int64()), pa.array(data, pa.binary())], ["a", "s", "d", "j", "h", "data"])
 
     return rows
@@ -106,6 +106,7 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     _, back, times = np.unique(mixed(hashes.view(np.uint64) + group.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)), return_inverse=True, return_counts=True)
     keep = times[back] > 1
     at, group, hashes = at[keep], group[keep], hashes[keep]
+    del back, times, keep
     if not len(at):
         return masks
     block, start, size = _deal(group, hashes, docs[row[at]], row[at], at, window)
@@ -185,8 +186,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, total, gone, runs = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                drop = covered(found, len(text), window)
+            offsets, marks = list_columns(batch.column(2), ["start", "n", "mask"])
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                drop = covered(*(m[offsets[i] : offsets[i + 1]] for m in marks), len(text), window)
                 total.append(len(text))
                 gone.append(int(drop.sum()))
                 runs.append(int(drop[:1].sum() + (drop[1:] & ~drop[:-1]).sum()))

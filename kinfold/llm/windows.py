@@ -19,7 +19,7 @@ _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 2
 #: Bytes of stretches that a task works on at a time, about.
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
