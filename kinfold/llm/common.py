@@ -20,8 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
