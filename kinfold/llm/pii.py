@@ -37,10 +37,14 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT_RUN = re.compile(r"[0-9]+")
-_URL_REST = re.compile(r"[^\s<>\"'|]+")
-_IBAN = re.compile(r"[ :=#\"]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?: (?:no|number|id))?[ .:=#\"]{1,4}([A-Z]{0,3}[0-9][0-9-]{4,18}[0-9])(?![A-Za-z0-9])")
-_SECRET = re.compile(r"[ ]{0,2}[:=][ ]{0,2}[\"']?([A-Za-z0-9_+/=-]{16,})")
+URL_REST = r"[^\x00-\x20<>\"'|]+"
+URL_TAIL = ".,;:!?)"
+#: What follows a cue: a part before the identifier, the identifier, and (after it) what ends it.
+IBAN_PARTS = (r"[ :=#\"]{0,4}", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", r"[^A-Za-z0-9]")
+ACCOUNT_PARTS = (r"(?: (?:no|number|id))?[ .:=#\"]{1,4}", r"[A-Z]{0,3}[0-9][0-9-]{4,18}[0-9]", r"[^A-Za-z0-9]")
+SECRET_PARTS = (r"[ ]{0,2}[:=][ ]{0,2}[\"']?", r"[A-Za-z0-9_+/=-]{16,}", r"")
+_URL_REST = re.compile(URL_REST)
+_IBAN, _ACCOUNT, _SECRET = (re.compile(f"{before}({own})" + (f"(?={end}|$)" if end else "")) for before, own, end in (IBAN_PARTS, ACCOUNT_PARTS, SECRET_PARTS))
 
 
 def luhn(digits: str) -> bool:
@@ -53,6 +57,11 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def forms(word: str) -> list[str]:
+    """The spellings of an anchor that are looked for."""
+    return sorted({word, word.title(), word.upper()})
+
+
 @lru_cache(1)
 def anchors() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -62,7 +71,7 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(f"+{d}", ("plus", 2))
     for kind, words in (("url", SCHEMES), ("iban", IBAN_CUES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for word in words:
-            for form in {word, word.title(), word.upper()}:
+            for form in forms(word):
                 found.add_word(form, (kind, len(form)))
     found.make_automaton()
     return found
@@ -108,12 +117,13 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if kind == "url":
                 if m := _URL_REST.match(text, end):
                     others[kind] = m.end()
-                    out["url"].append((at, end + len(m[0].rstrip(".,;:!?)"))))
+                    out["url"].append((at, end + len(m[0].rstrip(URL_TAIL))))
                 continue
             m = (_IBAN if kind == "iban" else _ACCOUNT if kind == "account" else _SECRET).match(text, end)
-            if m and (kind != "iban" or mod97(m[1].replace(" ", ""))):
+            if m:
                 others[kind] = m.end(1)
-                out[kind].append(m.span(1))
+                if kind != "iban" or mod97(m[1].replace(" ", "")):
+                    out[kind].append(m.span(1))
     return [(k, s, e) for k in KINDS for s, e in out[k]]
 
 
@@ -180,3 +190,53 @@ def brute_force(text: str | None) -> str:
 
 def digest(joined: str) -> str:
     return hashlib.sha256(joined.encode()).hexdigest()
+
+
+def _either(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(re.escape(f) for w in words for f in forms(w)) + ")"
+
+
+def _kind_sql(kind: str, number: int, pattern: str, span: str, valid: str) -> str:
+    """Spans of one kind: what the pattern matches from the left, with the places from what lies between."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {number} AS place, s + b AS b, s + e AS e FROM (
+      SELECT doc_id, m, s, {span} FROM (
+        SELECT doc_id, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+        FROM (SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS ms, string_split_regex(t, '{quoted}') AS ps FROM t))) WHERE {valid})"""
+
+
+def _cue_sql(kind: str, number: int, cues: tuple[str, ...], parts: tuple[str, str, str], valid: str = "true") -> str:
+    before, own, end = parts
+    pattern = f"{_either(cues)}{before}({own})({end + '|$' if end else ''})"
+    quoted = pattern.replace("'", "''")
+    one, two = (f"length(regexp_extract(m, '{quoted}', {g}))" for g in (1, 2))
+    return _kind_sql(kind, number, pattern, f"length(m) - {two} - {one} AS b, length(m) - {two} AS e", valid.replace("{own}", f"replace(regexp_extract(m, '{quoted}', 1), ' ', '')"))
+
+
+def _sql() -> str:
+    whole = "0 AS b, length(m) AS e"
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = "(CAST(substr(x, length(x) - i, 1) AS BIGINT) * 2)"
+    luhn_sql = f"list_sum(list_transform(range(0, length(x)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(x, length(x) - i, 1) AS BIGINT) ELSE {doubled} // 10 + {doubled} % 10 END)) % 10 = 0".replace("x,", f"{digits},").replace("length(x)", f"length({digits})")
+    turned = "substr({own}, 5) || substr({own}, 1, 4)"
+    letters = "instr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c)"
+    mod_sql = f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({turned}, ''), lambda c: CASE WHEN {letters} > 0 THEN CAST({letters} + 9 AS BIGINT) ELSE CAST(c AS BIGINT) END)), lambda a, c: (CASE WHEN c > 9 THEN a * 100 ELSE a * 10 END + c) % 97) = 1"
+    scheme = _either(SCHEMES).replace("'", "''")
+    kinds = [
+        _kind_sql("email", 1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", whole, "true"),
+        _kind_sql("ip", 2, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", whole, "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) < 4 AND CAST('0' || right(x, 3) AS BIGINT) <= 255)) = 4"),
+        _kind_sql("card", 3, r"[0-9]([\x20-]?[0-9])+", whole, f"length({digits}) BETWEEN 13 AND 19 AND {luhn_sql}"),
+        _kind_sql("phone", 4, r"\+[0-9][\x20().0-9-]+[0-9]", whole, f"length({digits}) BETWEEN 9 AND 15"),
+        _kind_sql("url", 5, _either(SCHEMES) + URL_REST, f"0 AS b, greatest(length(rtrim(m, '{URL_TAIL}')), length(regexp_extract(m, '^{scheme}'))) AS e", "true"),
+        _cue_sql("iban", 6, IBAN_CUES, IBAN_PARTS, mod_sql),
+        _cue_sql("account", 7, ACCOUNT_CUES, ACCOUNT_PARTS),
+        _cue_sql("secret", 8, SECRET_CUES, SECRET_PARTS),
+    ]
+    joined = "coalesce(string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY place, b)"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(kinds)})
+SELECT t.doc_id, {counts}, sha256({joined} FILTER (WHERE place <= {len(BASE_KINDS)}), '')) AS base_sha256, {joined} FILTER (WHERE kind IS NOT NULL), '') AS spans
+FROM t LEFT JOIN f ON t.doc_id = f.doc_id GROUP BY t.doc_id"""
+
+
+SQL = _sql()

@@ -32,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.SQL,
+        "op4_pii": pii.SQL,
         "op6_substring_dedup": substring.SQL,
         "op7_line_dedup": linededup.SQL,
         "op8_suffix_dedup": suffix.SQL,
