@@ -30,7 +30,7 @@ from .windows import by_anchor, grams, keyed, release, repeated_stretches, windo
 WINDOW = 35
 GRAM = 8
 #: Distinct stretches of one anchor that are brought together in one task.
-CAP = 1000
+CAP = 30_000
 
 
 def word_hashes(text: str) -> np.ndarray:
