@@ -29,7 +29,7 @@ from .windows import by_anchor, byte_grams, keyed, mixed, release, repeated_stre
 
 WINDOW = 50
 GRAM = 16
-CAP = 4000
+CAP = 30_000
 #: Symbols of one suffix array, about: parts of larger groups are dealt out by what they hold.
 BLOCK = 1500
 _LEAST = -(1 << 63)
