@@ -150,7 +150,8 @@ def test_pii_added_kinds_and_redaction(spark):
     assert row["n_email"] == 1 and row["base_sha256"] == sha(pii.brute_force(text))
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("terms", [decontam.MAX_TERMS, 3])
+def test_leaks(spark, terms):
     r = random.Random(8)
     words = ["".join(r.choice("bcdfgaeiou") for _ in range(6)) for _ in range(900)]
     say = lambda n: " ".join(r.choice(words) for _ in range(n))
@@ -160,7 +161,7 @@ def test_leaks(spark):
     for i in range(0, 30, 6):
         swapped[i] = "other"
     rows = [(i, say(300)) for i in range(40)] + [(100 + i, f"{say(150)} {t.upper()}, {say(90)}") for i, t in items if t] + [(200, f"{say(70)} {' '.join(swapped)} {say(70)}"), (300, None), (301, "")]
-    got = decontam.find_leaks(spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = decontam.find_leaks(spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string"), max_terms=terms).collect()
     assert {(x["doc_id"], x["item_id"]) for x in got} == {(100 + i, i) for i, t in items if t} | {(200, 1)}
     assert min(x["lcs"] for x in got) < 1 == max(x["lcs"] for x in got)
     kept = decontam.keep_clean(spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string"))
