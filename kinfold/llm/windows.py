@@ -18,6 +18,7 @@ _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bits of the fixed-size Bloom filter (8 MB): the same at every input size.
 BLOOM_BITS = 1 << 26
 BLOOM_HASHES = 2
+ROWS_PER_BATCH = 2_000
 #: Bytes of stretches that a task works on at a time, about.
 BATCH = 1 << 20
 
