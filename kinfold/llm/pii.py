@@ -12,7 +12,6 @@ get their row. Texts are read whole; an anchor costs time in proportion to what
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -188,10 +187,6 @@ def brute_force(text: str | None) -> str:
     return ",".join(out)
 
 
-def digest(joined: str) -> str:
-    return hashlib.sha256(joined.encode()).hexdigest()
-
-
 def _either(words: tuple[str, ...]) -> str:
     return "(?:" + "|".join(re.escape(f) for w in words for f in forms(w)) + ")"
 
