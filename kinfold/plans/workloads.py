@@ -11,6 +11,7 @@ from ..functions.coded import children_text, decode, flags_to_list, label_of, la
 from ..functions.coded import fact_text as group_texts
 from ..operators import dialogs, merge, sampling, scores, steps
 from ..schema import GROUPS, MISSING_CODES, STEPS
+from ..sources.staging import staged
 from . import fixtures
 from .fixtures import view
 
@@ -33,7 +34,8 @@ def aged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.weighted_sample(aged(spark, sf_dir))
+    """The draw reads the persons several times, so they are written first."""
+    return sampling.weighted_sample(staged(aged(spark, sf_dir), "aged"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,17 +69,7 @@ def stand_in(step: str):
 
 
 def personas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    written = lambda df, name: df.checkpoint()
-    _shared(spark)
-    return steps.run_steps(steps.unique_ids(facts(spark, sf_dir)), {s: stand_in(s) for s in STEPS}, written)
-
-
-def _shared(spark: SparkSession) -> None:
-    """The folder for checkpoints, set only where the session names none."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return steps.run_steps(steps.unique_ids(facts(spark, sf_dir)), {s: stand_in(s) for s in STEPS}, staged)
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
