@@ -168,6 +168,62 @@ def test_leaks(spark, terms):
     assert {x["doc_id"] for x in kept.collect()} == {d for d, _ in rows} - {x["doc_id"] for x in got}
 
 
+def zipf_words(r, n_words, n):
+    """Words of a vocabulary of ``n_words``, the first far more often than the last."""
+    return [f"w{int(n_words ** r.random()):05d}" for _ in range(n)]
+
+
+def reworded(r, tokens, share):
+    return [f"new{r.randint(0, 99)}" if i in at else w for at in [set(r.sample(range(len(tokens)), int(share * len(tokens))))] for i, w in enumerate(tokens)]
+
+
+def test_leaks_of_a_large_benchmark(spark):
+    r = random.Random(21)
+    items = [(i, zipf_words(r, 20_000, r.randint(20, 40))) for i in range(2500)]
+    rows, planted = [], set()
+    for i, part in items[:1500]:
+        rows.append((i, " ".join(zipf_words(r, 20_000, r.randint(30, 90)) + reworded(r, part, 0.28 * (i % 2)) + zipf_words(r, 20_000, r.randint(30, 90)))))
+        planted.add((i, i))
+    got = decontam.find_leaks(spark.createDataFrame(rows, TEXT), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    assert planted <= {(x["doc_id"], x["item_id"]) for x in got.collect()}
+
+
+def plain_leaks(rows, items):
+    """Pairs by the words alone, of every place and every passage of items (item, words, answer)."""
+    found = set()
+    for doc, text in rows:
+        tokens = decontam.words(text)
+        for p, _ in decontam.cut(tokens):
+            for item, words, answer in items:
+                for _, part in decontam.cut(words):
+                    near = tokens[max(0, p - len(part)) : p + 40 + len(part)]
+                    if len({*part} & {*near}) < 3:
+                        continue
+                    share, answered = decontam.lcs(part, near) / len(part), decontam.within(answer, near)
+                    if decontam.within(part, near) if len(part) < 8 else share >= 0.7 or answered and len(answer) > 2 and share >= 0.55:
+                        found.add((doc, item))
+    return found
+
+
+@pytest.mark.parametrize("terms", [decontam.MAX_TERMS, 700])
+def test_leaks_agree_with_brute_force(spark, terms):
+    r = random.Random(22)
+    items = [(i, zipf_words(r, 3000, r.choice([5, 7, 10, 20, 30, 40, 70]))) for i in range(330)]
+    answers = {i: part[-4:] if i % 3 else part[-2:] for i, part in items}
+    rows = []
+    for d in range(60):
+        text = zipf_words(r, 3000, r.randint(0, 70))
+        for i, part in r.sample(items, 3):
+            kept = reworded(r, part[:-4], r.choice([0, 0.2, 0.3, 0.4, 0.5])) + part[-4:]
+            for _ in range(r.choice([0, 0, 15])):
+                kept.insert(r.randrange(len(kept)), f"in{r.randint(0, 99)}")
+            text += kept + zipf_words(r, 3000, r.randint(0, 50))
+        rows.append((d, " ".join(text)))
+    table = spark.createDataFrame([(i, " ".join(part), " ".join(answers[i])) for i, part in items], "item_id long, text string, answer string")
+    got = [(x["doc_id"], x["item_id"]) for x in decontam.find_leaks(spark.createDataFrame(rows, TEXT), table, max_terms=terms).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_leaks(rows, [(i, part, answers[i]) for i, part in items])
+
+
 @given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
 def test_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
