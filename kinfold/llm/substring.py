@@ -157,10 +157,10 @@ def covered(starts: np.ndarray, sizes: np.ndarray, masks: np.ndarray, n_tokens:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed."""
     rows = keyed(docs)
-    spans = repeated_windows(rows, window).groupBy("key").agg(F.collect_set(F.struct("start", "n", "mask")).alias("spans"))
+    spans = repeated_windows(rows, window, cap).groupBy("key").agg(F.collect_set(F.struct("start", "n", "mask")).alias("spans"))
 
     def cut(batches):
         for batch in batches:

@@ -270,6 +270,16 @@ def test_substring_windows(spark, cap, monkeypatch):
         assert got[d]["kept_sha256"] == sha(" ".join(w for w, x in zip(words, gone[d]) if not x))
 
 
+def test_substring_windows_of_large_anchors(spark):
+    rows = corpus(11, vocabulary=6) + [(200, "p q r " * 40), (201, " ".join(f"u{i}" for i in range(35))), (202, " ".join(f"u{i}" for i in range(35)))]
+    got = {r["doc_id"]: r for r in substring.remove_repeats(spark.createDataFrame(rows, TEXT), cap=1).collect()}
+    gone = plain_repeats([(d, (t or "").split()) for d, t in rows], 35, False)
+    for d, t in rows:
+        words = (t or "").split()
+        assert (got[d]["n_words"], got[d]["n_removed"]) == (len(words), sum(gone[d]))
+        assert got[d]["text"] == " ".join(w for w, x in zip(words, gone[d]) if not x)
+
+
 @pytest.mark.parametrize("cap", [1000, 1])
 def test_suffix_windows(spark, cap):
     rows = corpus(12, n=40, vocabulary=5) + [(200, "ab" * 200), (201, "ab" * 40), (202, "é" * 60)]
