@@ -1,23 +1,70 @@
-"""Tables between the steps of a job."""
+"""Tables between the steps of a job, in the folder that the executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders written by ``staged`` and not deleted yet.
+_open: set[str] = set()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where the session has none, a temporary one in local mode; on a
+    cluster that is an error, since executors would not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Have Spark delete the shuffle files of each query that ends meanwhile, rather than when the driver
+    happens to collect its garbage."""
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, old)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the folder that the executors share and read it back, so that what
-    follows neither computes it again nor depends on its executors. The folder is that of
-    spark.checkpoint.dir; a temporary one only where the session has none."""
+    """Write ``df`` as Parquet in the shared folder and read it back, so that what follows neither computes
+    it again nor depends on its executors. ``unstage`` or ``drop_stages`` deletes the files."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _open.add(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _open.difference_update({x for x in _open if folder.endswith(x.rpartition("/")[2])})
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing reads any more."""
+    for df in tables:
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete what is still staged: to be called when the results that read it have been written."""
+    for folder in list(_open):
+        _delete(spark, folder)
