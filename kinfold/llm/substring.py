@@ -1,36 +1,38 @@
 """Substring dedup of word windows by level-wise doubling.
 
-A window is ``window`` consecutive words of one document. Level by level, at 8, 16, 32 words and at
-last the window itself, only what is repeated at one length is looked at at twice that length:
+A window is ``window`` consecutive words of one document. Windows that start alone at one length go no
+further; those repeated at 8 words are extended to 16, then 32, and at last to the window itself:
 
-* 8 words: of each window the anchor, its smallest 8-gram hash, must occur elsewhere. Equal windows
-  have equal anchors, so one row for each stretch of windows with the same anchor does.
-* whole stretches that are identical settle all their windows at once; only one of each is
-  extended further.
-* 16 and 32 words, then the window: the windows of stretches whose anchor has several stretches are
-  counted by the hash of their first 16 words, the survivors by 32, the survivors by all; in one task
-  for each anchor, or by partial aggregation for anchors of more than ``cap`` distinct stretches.
+* equal windows have the same anchor, their smallest 8-gram hash, so windows are compared with those of
+  their anchor only; one row stands for a stretch of consecutive windows with one anchor (see ``windows``).
+* identical stretches are represented once, with the number of times (two stands for more) that they occur.
+* the windows of all stretches whose anchor occurs again are counted, with that number, by the hash of
+  their first 8 words, the survivors by 16, and so on: in one task for each anchor, or by partial
+  aggregation over all tasks for anchors of more than ``cap`` distinct stretches.
 
 A word is removed if a window that covers it starts anywhere else too, in the same document or
-another. Windows are judged on the input. Texts with fewer words lose nothing; null texts are empty.
-Every row is a document, so rows repeated as a whole remove each other. Hashes are 64 bits within
-64-bit anchors.
+another. Windows are judged on the input. Texts with fewer words lose nothing; null texts are empty,
+and so is the result of an empty table. Every row is a document, so rows repeated as a whole remove
+each other; equal ids make no difference. Texts of any length are read whole; a long one costs memory
+in proportion in one task. Other columns of the input, whatever their names, are not looked at.
+Hashes are 64 bits within 64-bit anchors.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, unstage
-from .windows import by_anchor, grams, keyed, release, repeated_stretches, window_hashes, window_sums
+from .common import stage
+from .windows import CAP, all_stretches, by_anchor, covered, grams, keyed, list_columns, window_hashes, window_sums, with_company
 
 WINDOW = 35
 GRAM = 8
-#: Distinct stretches of one anchor that are brought together in one task.
-CAP = 30_000
+_MASKS = "a long, s long, mask long, j int, w int, h array<long>"
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -44,44 +46,30 @@ def _gram_hashes(text: str) -> np.ndarray:
 
 
 def _levels(window: int) -> list[int]:
-    out = [2 * GRAM]
+    out = [GRAM]
     while 2 * out[-1] < window:
         out.append(2 * out[-1])
-    return [x for x in out if x < window] + [window]
+    return [*out, window]
 
 
-def _contents(levels: list[int], cap: int):
-    """Of each distinct stretch that has company: its gram hashes, or for large anchors a row for each
-    window with its hash at every level."""
-    window = levels[-1]
+def _contents(window: int):
+    """a, s, w, data (its gram hashes) of each distinct stretch."""
 
-    def rows(batches):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, wide = [], []
-            offsets, fields = list_columns(batch.column(1), ["a", "s", "m", "start", "n"])
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                hashes = _gram_hashes(text)
-                for a, s, m, start, n in zip(*(f[offsets[i] : offsets[i + 1]].tolist() for f in fields), strict=True):
-                    if m <= cap:
-                        plain.append((a, s, hashes[start : start + n + window - GRAM].tobytes()))
-                    else:
-                        cols = [window_hashes(hashes, length, GRAM, start, n).tolist() for length in levels]
-                        wide += [(a, s, j, list(h)) for j, h in enumerate(zip(*cols, strict=True))]
-            cols = [
-                pa.array([r[0] for r in plain] + [r[0] for r in wide], pa.int64()),
-                pa.array([r[1] for r in plain] + [r[1] for r in wide], pa.int64()),
-                pa.array([None] * len(plain) + [r[2] for r in wide], pa.int32()),
-                pa.array([r[2] for r in plain] + [None] * len(wide), pa.binary()),
-                pa.array([None] * len(plain) + [r[3] for r in wide], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["a", "s", "j", "data", "h"])
+            offsets, (a, s, w, at) = list_columns(batch.column(1), ["a", "s", "w", "at"])
+            for row in range(batch.num_rows):
+                hashes, mine = _gram_hashes(batch.column(0)[row].as_py()), slice(offsets[row], offsets[row + 1])
+                data = [hashes[x >> 6 : (x >> 6) + (x & 63) + window - GRAM].tobytes() for x in at[mine].tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(a[mine]), pa.array(s[mine]), pa.array(w[mine]), pa.array(data, pa.binary())], ["a", "s", "w", "data"])
 
     return rows
 
 
-def level_masks(data: list[bytes], anchors: np.ndarray, levels: list[int]) -> np.ndarray:
+def level_masks(data: list[bytes], anchors: np.ndarray, weights: np.ndarray, levels: list[int]) -> np.ndarray:
     """One mask per stretch: bit j is set if its window j is repeated among those of its anchor. The
-    windows are counted at each level's length, and those alone at one length go no further."""
+    windows are counted at each level's length, each as often as its stretch occurs, and those alone at
+    one length go no further."""
     window = levels[-1]
     buffer = np.frombuffer(b"".join(data), np.uint64)
     ends = np.cumsum([len(x) // 8 for x in data])
@@ -92,82 +80,70 @@ def level_masks(data: list[bytes], anchors: np.ndarray, levels: list[int]) -> np
     for length in levels:
         if len(alive):
             hashes = window_sums(buffer, length, GRAM).view(np.uint64)[alive] + group[row[alive]]
-            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            alive = alive[times[back] > 1]
+            _, back = np.unique(hashes, return_inverse=True)
+            alive = alive[np.bincount(back, weights[row[alive]])[back] > 1]
     masks = np.zeros(len(data), np.int64)
     np.bitwise_or.at(masks, row[alive], np.int64(1) << (alive - begins[row[alive]]))
     return masks
 
 
+def _rows(a, s, mask=None, j=None, w=None, h=None) -> pa.RecordBatch:
+    n = len(a)
+    cols = [pa.array(a, pa.int64()), pa.array(s, pa.int64())]
+    cols += [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((mask, pa.int64()), (j, pa.int32()), (w, pa.int32()), (h, pa.list_(pa.int64())))]
+    return pa.RecordBatch.from_arrays(cols, ["a", "s", "mask", "j", "w", "h"])
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
-    """key, start, n, mask: bit j of the mask tells that the window of ``keyed`` documents at word
-    start + j is repeated."""
+    """key, at, mask: bit j of the mask tells that window j of the stretch ``at`` of the documents (of
+    ``keyed``) is repeated."""
     spark, levels = docs.sparkSession, _levels(window)
-    found = repeated_stretches(docs, _gram_hashes, window, GRAM, own=True)
-    release(spark)
-    kinds = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "start")).alias("at"), F.first("n").alias("n"), F.max("own").alias("own"))
-    kinds = stage(kinds, "stretch-kinds")
-    release(spark)
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("o")).filter("m > 1 or o").select("a", "m")
-    parts = kinds.join(several, "a").groupBy("at.key").agg(F.collect_list(F.struct("a", "s", "m", F.col("at.start").alias("start"), "n")).alias("parts"))
-    # Rows repeated as a whole have one key; their windows count once more for each, and they are repeated anyway.
-    contents = docs.join(parts, "key").select("text", "parts").mapInArrow(_contents(levels, cap), "a long, s long, j int, data binary, h array<long>")
-    contents = stage(contents, "stretch-contents")
-    release(spark)
-    small = contents.filter("data is not null").select("a", "s", "data")
-    small = small.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s")
+    found = all_stretches(docs, ["key"], _gram_hashes, window, GRAM, own=True)
+    found = stage(found.mapInArrow(with_company, found.schema), "stretches")
+    kinds = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("one"))
+    parts = kinds.select("one.key", F.struct("a", "s", F.least("c", F.lit(2)).cast("int").alias("w"), "one.at").alias("part"))
+    parts = parts.groupBy("key").agg(F.collect_list("part").alias("parts"))
+    # Rows repeated as a whole have one key: their stretches come again here, with the weight of repeated ones.
+    contents = docs.join(parts, "key").select("text", "parts").mapInArrow(_contents(window), "a long, s long, w int, data binary")
+    contents = contents.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s")
 
     def masks_of(table: pa.Table) -> pa.RecordBatch:
-        a, s = (table.column(c).to_numpy() for c in ("a", "s"))
-        masks = level_masks(table.column("data").to_pylist(), a, levels)
+        a, s, w = (table.column(c).to_numpy() for c in ("a", "s", "w"))
+        masks = level_masks(table.column("data").to_pylist(), a, w, levels)
         some = masks != 0
-        return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(s[some]), pa.array(masks[some])], ["a", "s", "mask"])
-
-    masks = small.mapInArrow(by_anchor(masks_of), "a long, s long, mask long")
-    large = contents.filter("h is not null").select("a", "s", "j", "h")
+        return _rows(a[some], s[some], masks[some])
+
+    def windows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i in range(0, table.num_rows, 500):
+            a, s, w = (table.column(c)[i : i + 500].to_numpy() for c in ("a", "s", "w"))
+            hashes = [np.frombuffer(x, np.uint64) for x in table.column("data")[i : i + 500].to_pylist()]
+            sizes = np.array([len(x) - (window - GRAM) for x in hashes])
+            cols = [np.concatenate([window_hashes(x, level, GRAM, 0, n) for x, n in zip(hashes, sizes, strict=True)]) for level in levels]
+            at = np.repeat(np.arange(len(a)), sizes)
+            yield _rows(a[at], s[at], None, np.concatenate([np.arange(n) for n in sizes]), w[at], list(np.stack(cols, 1)))
+
+    masks = stage(contents.mapInArrow(by_anchor(masks_of, windows_of, cap), _MASKS), "masks")
+    large = masks.filter("h is not null").select("a", "s", "j", "w", "h")
     for i in range(len(levels)):
-        again = large.groupBy("a", F.col("h")[i].alias("x")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").drop("_c")
+        again = large.groupBy("a", F.col("h")[i].alias("x")).agg(F.sum("w").alias("_c")).filter("_c > 1").drop("_c")
         large = large.withColumn("x", F.col("h")[i]).join(again, ["a", "x"]).drop("x")
     large = large.groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
-    whole = kinds.filter("c > 1").select("a", "s", F.lit(-1).cast("long").alias("mask"))
-    masks = stage(masks.unionByName(large).unionByName(whole).groupBy("a", "s").agg(F.bit_or("mask").alias("mask")), "masks")
-    unstage(contents)
-    unstage(kinds)
-    release(spark)
-    return found.join(masks, ["a", "s"]).select("key", "start", "n", "mask")
-
-
-def list_columns(column: pa.ListArray, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Offsets, and each named field of a column of lists of structs as one array; cheaper than a dict for each."""
-    values = column.values
-    return column.offsets.to_numpy(), [values.field(n).to_numpy(zero_copy_only=False) for n in names]
-
-
-def covered(starts: np.ndarray, sizes: np.ndarray, masks: np.ndarray, n_tokens: int, window: int) -> np.ndarray:
-    """Which tokens of a text the marked windows of its stretches cover."""
-    edges = np.zeros(n_tokens + 1, np.int64)
-    for start, size, mask in zip(starts.tolist(), sizes.tolist(), masks.tolist(), strict=True):
-        if mask == -1:  # all windows of the stretch
-            edges[start] += 1
-            edges[start + size + window - 1] -= 1
-        else:
-            at = start + np.flatnonzero((mask >> np.arange(size)) & 1)
-            edges[at] += 1
-            edges[at + window] -= 1
-    return np.cumsum(edges[:-1]) > 0
+    masks = masks.filter("mask is not null").select("a", "s", "mask").unionByName(large).groupBy("a", "s").agg(F.bit_or("mask").alias("mask"))
+    return found.select("a", "s", "key", "at").join(masks, ["a", "s"]).select("key", "at", "mask")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
     """doc_id, text (the kept words joined by one space), n_words, n_removed."""
-    rows = keyed(docs)
-    spans = repeated_windows(rows, window, cap).groupBy("key").agg(F.collect_set(F.struct("start", "n", "mask")).alias("spans"))
+    rows, unique = keyed(docs)
+    gather = F.collect_list if unique else F.collect_set
+    spans = repeated_windows(rows, window, cap).groupBy("key").agg(gather(F.struct("at", "mask")).alias("spans"))
 
-    def cut(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, gone = [], [], []
-            offsets, marks = list_columns(batch.column(2), ["start", "n", "mask"])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                words = text.encode().split()
+            offsets, marks = list_columns(batch.column(2), ["at", "mask"])
+            for i, text in enumerate(batch.column(1)):
+                words = text.as_py().encode().split()
                 drop = covered(*(m[offsets[i] : offsets[i + 1]] for m in marks), len(words), window)
                 total.append(len(words))
                 gone.append(int(drop.sum()))

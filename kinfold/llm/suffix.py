@@ -3,15 +3,18 @@
 A byte goes if a ``window``-byte string that covers it also starts in a document with a smaller id.
 Texts are UTF-8 bytes; matches never cross documents; strings are judged on the input.
 
-Stretches of windows with one anchor (see ``windows``) that are identical in several documents are
-settled by the smallest id among them. Distinct stretches with the same anchor meet in one task,
-which takes the parts that may be shared, builds their suffix arrays (see ``grouping``), and finds
-equal windows as neighbours there, compared byte by byte. Anchors of more than ``cap`` distinct
-stretches (a common passage among ever different neighbours) are not brought together: their
-windows are counted by hash with partial aggregation instead.
-
-Null texts are empty; texts shorter than a window lose nothing. A null id is smaller than any
-other; rows with equal ids never remove each other.
+Equal windows have equal anchors, so stretches of windows with the same anchor (see ``windows``) meet.
+Identical stretches are represented once, with the smallest id that has them: the rows of larger ids lose
+all windows of the stretch. The distinct stretches of an anchor go into suffix arrays (see ``grouping``),
+where equal windows are neighbours, compared byte by byte; the smallest id among them is what the
+representative is held against. The windows of anchors with more than ``cap`` distinct stretches (the
+edges of a passage that stands among ever different neighbours) are not brought together: Spark groups
+them by anchor and their bytes, with partial aggregation.
+
+Null texts are empty; texts shorter than a window lose nothing; an empty table gives no row. A null id is
+smaller than any other; rows with equal ids never remove each other, repeated rows included. Texts of any
+length are read whole; a long one costs memory in proportion in one task. Other columns of the input,
+whatever their names, are not looked at. Identical stretches are told by 64 bits within 64-bit anchors.
 """
 
 from __future__ import annotations
@@ -22,42 +25,85 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, unstage
+from .common import stage
 from .grouping import suffix_arrays
-from .substring import covered, list_columns
-from .windows import by_anchor, byte_grams, keyed, mixed, release, repeated_stretches, window_hashes, window_sums
+from .windows import CAP, all_stretches, by_anchor, byte_grams, covered, keyed, list_columns, mixed, window_sums
 
 WINDOW = 50
 GRAM = 16
-CAP = 30_000
 #: Symbols of one suffix array, about: parts of larger groups are dealt out by what they hold.
 BLOCK = 1500
 _LEAST = -(1 << 63)
+_MASKS = "a long, s long, mask long, j int, d long, w binary"
 
 
 def byte_hashes(text: bytes) -> np.ndarray:
     return byte_grams(text, GRAM) if len(text) >= GRAM else np.zeros(0, np.uint64)
 
 
-def _contents(window: int, cap: int):
-    """Of each distinct stretch that has company: its bytes, or for large anchors its windows' hashes."""
+#: What becomes of a stretch: all its windows go; it represents its kind among others of its anchor; it
+#: goes with its representative, which has the same id.
+LATER, LEAD, SAME = 0, 1, 2
+
+
+def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by a, s, doc_id, with a column ``kind``: the first row of a stretch's kind if its anchor
+    has other kinds (LEAD), later ones with its id (SAME) or a larger one (LATER). The first row of an
+    anchor waits until another kind shows up; nothing else is held."""
+    last_a = last_s = first_doc = waiting = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        a, s, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s", "doc_id"))
+        new_a, new_s = np.append(True, a[1:] != a[:-1]), np.append(True, s[1:] != s[:-1])
+        if last_a is not None:
+            new_a[0], new_s[0] = a[0] != last_a, s[0] != last_s
+        new = new_a | new_s
+        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        first = doc[at]
+        if at[0] < 0:
+            first[at < 0] = first_doc
+        leads = np.flatnonzero(new)
+        company = np.zeros(n, bool)
+        if len(leads):
+            others = ~new_a[leads]
+            company[leads] = others | np.append(others[1:], False)
+            if waiting is not None and others[0]:
+                yield waiting
+            waiting = None
+            if not company[leads[-1]]:
+                waiting = _marked(batch.slice(int(leads[-1]), 1), np.array([LEAD], np.int8))
+        keep = company | ~new
+        if keep.any():
+            kind = np.where(new, LEAD, np.where(doc > first, LATER, SAME)).astype(np.int8)
+            kept = pa.array(keep)
+            yield _marked(batch.filter(kept), kind[keep])
+        last_a, last_s, first_doc = a[-1], s[-1], first[-1]
+
+
+def _marked(batch: pa.RecordBatch, kind: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind)], [*batch.schema.names, "kind"])
+
+
+def _contents(window: int):
+    """a, s, d, data (its bytes) of each stretch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, s, d, j, h, data = [], [], [], [], [], []
-            offsets, fields = list_columns(batch.column(1), ["a", "s", "m", "d", "start", "n"])
-            for row, text in enumerate(batch.column(0).to_pylist()):
-                hashes = None
-                for anchor, content, m, doc, start, n in zip(*(f[offsets[row] : offsets[row + 1]].tolist() for f in fields), strict=True):
-                    if m <= cap:
-                        a.append(anchor), s.append(content), d.append(doc), j.append(n), h.append(None)
-                        data.append(text[start : start + n + window - 1])
-                        continue
-                    if hashes is None:
-                        hashes = byte_hashes(text)
-                    for i, x in enumerate(window_hashes(hashes, window, GRAM, start, n).tolist()):
-                        a.append(anchor), s.append(content), d.append(doc), j.append(i), h.append(x), data.append(None)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(j, pa.int32()), pa.array(h, pa.int64()), pa.array(data, pa.binary())], ["a", "s", "d", "j", "h", "data"])
+            offsets, (a, s, d, at) = list_columns(batch.column(1), ["a", "s", "d", "at"])
+            low = 0
+            while low < batch.num_rows:
+                high, size, data = low, 0, []
+                while high < batch.num_rows and size < 1 << 20:
+                    text = batch.column(0)[high].as_py()
+                    more = [text[x >> 6 : (x >> 6) + (x & 63) + window - 1] for x in at[offsets[high] : offsets[high + 1]].tolist()]
+                    data += more
+                    size += sum(map(len, more))
+                    high += 1
+                mine = slice(offsets[low], offsets[high])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[mine]) for x in (a, s, d)), pa.array(data, pa.binary())], ["a", "s", "d", "data"])
+                low = high
 
     return rows
 
@@ -134,60 +180,64 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     return masks
 
 
-def _shared_rows(window: int):
+def _rows(a, s, mask=None, j=None, d=None, w=None) -> pa.RecordBatch:
+    n = len(a)
+    cols = [pa.array(a, pa.int64()), pa.array(s, pa.int64())]
+    cols += [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((mask, pa.int64()), (j, pa.int32()), (d, pa.int64()), (w, pa.binary()))]
+    return pa.RecordBatch.from_arrays(cols, ["a", "s", "mask", "j", "d", "w"])
+
+
+def earlier_windows(docs: DataFrame, unique: bool, window: int = WINDOW, cap: int = CAP) -> DataFrame:
+    """key, at, mask of the documents (of ``keyed``): bit j tells that window j of the stretch ``at`` also
+    starts in a document with a smaller id; mask -1: all of them do."""
+    spark = docs.sparkSession
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = docs.select("key", F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    found = all_stretches(data, ["doc_id"] if unique else ["doc_id", "key"], byte_hashes, window, GRAM)
+    found = stage(found.mapInArrow(kinds, ", ".join(f"{c} long" for c in found.columns) + ", kind tinyint"), "stretches")
+    if unique:
+        found = found.withColumn("key", F.col("doc_id"))
+    parts = found.filter(F.col("kind") == LEAD).groupBy("key").agg(F.collect_list(F.struct("a", "s", F.col("doc_id").alias("d"), "at")).alias("parts"))
+    # A row repeated as a whole yields its contents again, with the same id: that changes no minimum.
+    contents = data.join(parts, "key").select("text", "parts").mapInArrow(_contents(window), "a long, s long, d long, data binary")
+    contents = contents.repartition(parallel, "a").sortWithinPartitions("a", "s")
+
     def masks_of(table: pa.Table) -> pa.RecordBatch:
         a, s, d = (table.column(c).to_numpy() for c in ("a", "s", "d"))
         masks = shared_windows(table.column("data").to_pylist(), a, d, window)
         some = masks != 0
-        return pa.RecordBatch.from_arrays([pa.array(a[some]), pa.array(s[some]), pa.array(masks[some])], ["a", "s", "mask"])
+        return _rows(a[some], s[some], masks[some])
 
-    return by_anchor(masks_of)
+    def windows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i in range(0, table.num_rows, 500):
+            a, s, d = (table.column(c)[i : i + 500].to_numpy() for c in ("a", "s", "d"))
+            data = table.column("data")[i : i + 500].to_pylist()
+            sizes = np.array([len(x) - window + 1 for x in data])
+            at = np.repeat(np.arange(len(a)), sizes)
+            yield _rows(a[at], s[at], None, np.concatenate([np.arange(n) for n in sizes]), d[at], [x[j : j + window] for x, n in zip(data, sizes, strict=True) for j in range(n)])
 
-
-def earlier_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
-    """key, start, n, mask of ``keyed`` documents: bit j tells that the window at byte start + j also
-    starts in a document with a smaller id."""
-    spark = docs.sparkSession
-    found = repeated_stretches(docs.withColumn("text", F.col("text").cast("binary")), byte_hashes, window, GRAM, own=False)
-    found = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST)))
-    release(spark)
-    kinds = found.groupBy("a", "s").agg(F.min(F.struct("doc_id", "key", "start")).alias("at"), F.max("doc_id").alias("most"), F.first("n").alias("n"))
-    kinds = stage(kinds.select("a", "s", F.col("at.doc_id").alias("d"), "at.key", "at.start", "n", (F.col("most") > F.col("at.doc_id")).alias("more")), "stretch-kinds")
-    release(spark)
-    several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    parts = stage(kinds.join(several, "a").select("a", "s", "m", "d", "key", "start", "n"), "stretch-parts")
-    release(spark)
-    parts = parts.groupBy("key").agg(F.collect_list(F.struct("a", "s", "m", "d", "start", "n")).alias("parts"))
-    # A row repeated as a whole yields its contents again, with the same id: that changes no minimum.
-    contents = docs.join(parts, "key").select(F.col("text").cast("binary").alias("text"), "parts").mapInArrow(_contents(window, cap), "a long, s long, d long, j int, h long, data binary")
-    contents = stage(contents, "stretch-contents")
-    release(spark)
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = contents.filter("data is not null").select("a", "s", "d", "data").repartition(parallel, "a").sortWithinPartitions("a", "s")
-    masks = small.mapInArrow(_shared_rows(window), "a long, s long, mask long")
-    large = contents.filter("h is not null").select("a", "s", "d", "j", "h")
-    least = large.groupBy("a", "h").agg(F.min("d").alias("least"), F.max("d").alias("_most")).filter("least < _most").select("a", "h", "least")
-    large = large.join(least, ["a", "h"]).filter("d > least").groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
-    masks = stage(masks.unionByName(large).groupBy("a", "s").agg(F.bit_or("mask").alias("mask")), "masks")
-    unstage(contents)
-    release(spark)
-    settled = stage(kinds.join(masks, ["a", "s"], "left").filter("more or mask is not null").select("a", "s", "d", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")), "settled")
-    unstage(kinds)
-    release(spark)
-    out = found.join(settled, ["a", "s"]).select("key", "start", "n", F.when(F.col("doc_id") > F.col("d"), F.lit(-1).cast("long")).otherwise(F.col("mask")).alias("mask"))
-    return out.filter("mask <> 0")
+    masks = stage(contents.mapInArrow(by_anchor(masks_of, windows_of, cap), _MASKS), "masks")
+    large = masks.filter("w is not null").select("a", "s", "j", "d", "w")
+    least = large.groupBy("a", "w").agg(F.min("d").alias("least"), F.max("d").alias("_most")).filter("least < _most").select("a", "w", "least")
+    large = large.join(least, ["a", "w"]).filter("d > least").groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    masks = masks.filter("mask is not null").select("a", "s", "mask").unionByName(large).groupBy("a", "s").agg(F.bit_or("mask").alias("mask"))
+    later = found.filter(F.col("kind") == LATER).select("key", "at", F.lit(-1).cast("long").alias("mask"))
+    rest = found.filter(F.col("kind") != LATER).select("a", "s", "key", "at").join(masks, ["a", "s"]).select("key", "at", "mask")
+    return later.unionByName(rest)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
     """doc_id, data (the remaining bytes), n_bytes, n_removed, n_spans."""
-    rows = keyed(docs)
-    spans = earlier_windows(rows, window, cap).groupBy("key").agg(F.collect_set(F.struct("start", "n", "mask")).alias("spans"))
+    rows, unique = keyed(docs)
+    gather = F.collect_list if unique else F.collect_set
+    spans = earlier_windows(rows, unique, window, cap).groupBy("key").agg(gather(F.struct("at", "mask")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, total, gone, runs = [], [], [], []
-            offsets, marks = list_columns(batch.column(2), ["start", "n", "mask"])
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            offsets, marks = list_columns(batch.column(2), ["at", "mask"])
+            for i, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 drop = covered(*(m[offsets[i] : offsets[i + 1]] for m in marks), len(text), window)
                 total.append(len(text))
                 gone.append(int(drop.sum()))

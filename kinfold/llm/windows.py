@@ -3,24 +3,27 @@
 A window of W tokens holds W - k + 1 grams of k tokens; the smallest of their hashes is its anchor.
 Equal windows have equal anchors wherever they stand, so only windows with equal anchors need be
 compared. Consecutive windows with one anchor are a stretch; one row stands for a stretch, about
-(W - k) / 2 windows each, and identical stretches fall together before anything is compared.
+(W - k) / 2 windows each. Rows are dealt out and sorted by anchor once, and each task streams through
+its anchors: a stretch alone with its anchor goes no further, identical ones are told by neighbouring
+rows. No filter over all anchors is built and no group is held, however many rows share an anchor.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Windows of one stretch at most, so that a long holds a bit for each.
 MOST = 60
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Bits of the fixed-size Bloom filter (8 MB): the same at every input size.
-BLOOM_BITS = 1 << 26
-BLOOM_HASHES = 2
-ROWS_PER_BATCH = 2_000
-#: Bytes of stretches that a task works on at a time, about.
-BATCH = 1 << 20
+#: Bytes of text, and of stretches, that a task works on at a time, about.
+SLICE, BATCH = 1 << 20, 1 << 20
+#: Distinct stretches of one anchor that are compared in one task; beyond it Spark groups their windows.
+CAP = 200
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -102,12 +105,6 @@ def stretches(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.n
     return least[starts].view(np.int64), content.view(np.int64), starts, sizes
 
 
-def anchors_of(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
-    """The anchors of a text's runs of windows with one anchor."""
-    least = sliding_min(hashes, window - k + 1)
-    return least[np.append(True, least[1:] != least[:-1])].view(np.int64)
-
-
 def self_repeats(hashes: np.ndarray, window: int, k: int, anchors: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Whether a stretch holds its anchor twice or more: only then can two of its own windows be equal."""
     out = np.zeros(len(anchors), bool)
@@ -131,135 +128,128 @@ def window_sums(hashes: np.ndarray, window: int, k: int) -> np.ndarray:
     return mixed((sums[w:] - sums[:-w]) * down[: len(hashes) - w + 1]).view(np.int64)
 
 
-def _bloom_places(keys: np.ndarray) -> list[np.ndarray]:
-    x = mixed(keys.view(np.uint64))
-    return [(x >> np.uint64(26 * i)) & np.uint64(BLOOM_BITS - 1) for i in range(BLOOM_HASHES)]
-
-
-def bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of the longs of column ``a``, put together by Spark. Its size is fixed: with more
-    keys than it is made for it lets more through, and nothing depends on that but speed."""
-
-    def places(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = np.unique(np.concatenate(_bloom_places(batch.column(0).to_numpy(zero_copy_only=False))))
-            word = found >> np.uint64(6)
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (found & np.uint64(63)), first) if len(word) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    rows = keys.select("a").mapInArrow(places, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS >> 6, np.int64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
-def may_hold(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    words, out = filter_.view(np.uint64), np.ones(len(keys), bool)
-    for place in _bloom_places(keys):
-        out &= (words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return out
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (long), key, text (null as empty). The key is the id where ids are unique and not null;
-    else a hash of id and text, so that rows which share an id are not mixed up."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """doc_id (long), key, text (null as empty), and whether the key is the id, as it is where ids are
+    unique and not null; else it is a hash of id and text, so that rows which share an id are not mixed up."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    odd = ids.filter("n > 1 or doc_id is null").limit(1).count()
-    return rows.withColumn("key", F.xxhash64("doc_id", "text") if odd else F.col("doc_id"))
+    odd = bool(ids.filter("n > 1 or doc_id is null").limit(1).count())
+    return rows.withColumn("key", F.xxhash64("doc_id", "text") if odd else F.col("doc_id")), not odd
 
 
-def _anchor_rows(hashes_of, window: int, k: int, own: bool):
-    import pyarrow as pa
-
-    def scan(batches):
+def _stretch_rows(hashes_of: Callable, window: int, k: int, own: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
+            ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+            names, texts = [*batch.schema.names[:-1], "a", "s", "at", "own"], batch.column(batch.num_columns - 1)
+            rows, cols, size = [], [], 0
+            for row in range(batch.num_rows):
+                text = texts[row].as_py()
                 if len(h := hashes_of(text)) >= window - k + 1:
-                    if own:
-                        a, _, start, n = stretches(h, window, k)
-                        found.append(a[self_repeats(h, window, k, a, start, n)])
-                    found.append(anchors_of(h, window, k))
-            if found:
-                anchors, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(np.minimum(counts, 2).astype(np.int8))], ["a", "n"])
+                    a, s, start, n = stretches(h, window, k)
+                    rows.append((row, len(a)))
+                    cols.append((a, s, start << 6 | n, *([self_repeats(h, window, k, a, start, n)] if own else [])))
+                size += len(text)
+                if cols and (size >= SLICE or row == batch.num_rows - 1):
+                    found = [np.concatenate(x) for x in zip(*cols, strict=True)]
+                    which = np.repeat(*map(np.array, zip(*rows, strict=True)))
+                    found = [x[which] for x in ids] + found
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names[: len(found)])
+                    rows, cols, size = [], [], 0
 
     return scan
 
 
-def _stretch_rows(hashes_of, window: int, k: int, own: bool, held):
-    import pyarrow as pa
-
-    def scan(batches):
-        for batch in batches:
-            docs, keys, cols = [], [], []
-            for doc, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(h := hashes_of(text)) < window - k + 1:
-                    continue
-                a, s, start, n = stretches(h, window, k)
-                keep = np.flatnonzero(may_hold(held.value, a))
-                if len(keep):
-                    docs += [doc] * len(keep)
-                    keys.append(np.full(len(keep), key))
-                    more = [self_repeats(h, window, k, a[keep], start[keep], n[keep])] if own else []
-                    cols.append((a[keep], s[keep], start[keep].astype(np.int32), n[keep].astype(np.int32), *more))
-            if cols:
-                found = [np.concatenate(x) for x in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *map(pa.array, (np.concatenate(keys), *found))], ["doc_id", "key", "a", "s", "start", "n", "own"][: 2 + len(found)])
-
-    return scan
-
-
-def repeated_stretches(docs: DataFrame, hashes_of, window: int, k: int, own: bool) -> DataFrame:
-    """doc_id, key, a, s, start, n: the stretches (of ``keyed`` documents) whose anchor occurs in more
-    than one stretch, and a few more that the Bloom filter lets through. No repeated window is lost.
-    ``own``: also stretches that repeat their anchor themselves, marked by a column of that name."""
-    from .common import stage, unstage
-
-    anchors = docs.select("text").mapInArrow(_anchor_rows(hashes_of, window, k, own), "a long, n tinyint")
-    again = stage(anchors.groupBy("a").agg(F.sum("n").alias("n")).filter("n > 1").select("a"), "anchors")
-    held = docs.sparkSession.sparkContext.broadcast(bloom(again))
-    unstage(again)
-    release(docs.sparkSession)
-    rows = docs.select("doc_id", "key", "text").mapInArrow(_stretch_rows(hashes_of, window, k, own, held), "doc_id long, key long, a long, s long, start int, n int" + ", own boolean" * own)
-    return stage(rows, "stretches")
-
-
-def by_anchor(work):
+def all_stretches(docs: DataFrame, ids: list[str], hashes_of: Callable, window: int, k: int, own: bool = False) -> DataFrame:
+    """``ids`` (longs), a, s, at: the stretches of every text, dealt out and sorted by anchor, content
+    and ids. ``at`` holds the first window and, in its last six bits, their number. ``own``: whether a
+    stretch repeats its anchor itself."""
+    names = [f"{c} long" for c in (*ids, "a", "s", "at")] + ["own boolean"] * own
+    rows = docs.select(*ids, "text").mapInArrow(_stretch_rows(hashes_of, window, k, own), ", ".join(names))
+    return rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s", *ids, "at")
+
+
+def with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``a``, those whose anchor has another row, and those marked ``own``. The last row
+    of a batch waits for the next."""
+    held, before = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        a = table.column("a").to_numpy()
+        same = np.append(before, a[1:] == a[:-1])
+        keep = (same | np.append(same[1:], False) | table.column("own").to_numpy())[:-1]
+        yield from table.slice(0, len(a) - 1).filter(pa.array(keep)).to_batches()
+        held, before = table.slice(len(a) - 1).to_batches()[0], bool(same[-1])
+    if held is not None and (before or held.column("own")[0].as_py()):
+        yield held
+
+
+def by_anchor(work: Callable, wide: Callable, cap: int):
     """A mapInArrow function over rows sorted by ``a`` (with bytes ``data``): calls ``work`` with tables of
-    about BATCH bytes that hold all rows of their anchors."""
-    import pyarrow as pa
-
-    def rows(batches):
+    about BATCH bytes that hold all rows of their anchors, and ``wide`` with rows of anchors of more than
+    ``cap`` rows, which are not brought together."""
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        a = table.column("a").to_numpy()
+        new = np.append(True, a[1:] != a[:-1])
+        large = (np.diff(np.append(np.flatnonzero(new), len(a))) > cap)[np.cumsum(new) - 1]
+        if not large.all():
+            yield work(table.filter(pa.array(~large)).combine_chunks())
+        if large.any():
+            yield from wide(table.filter(pa.array(large)).combine_chunks())
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        streamed = None  # the anchor whose rows go on and are more than ``cap``
         for batch in batches:
             for at in range(0, batch.num_rows, 5000):
-                held.append(batch.slice(at, 5000))
+                piece = batch.slice(at, 5000)
+                if streamed is not None:
+                    cut = int(np.searchsorted(piece.column("a").to_numpy(zero_copy_only=False), streamed, "right"))
+                    if cut:
+                        yield from wide(pa.Table.from_batches([piece.slice(0, cut)]))
+                    if cut == piece.num_rows:
+                        continue
+                    piece, streamed = piece.slice(cut), None
+                held.append(piece)
                 if sum(x.column("data").nbytes for x in held) < BATCH:
                     continue
                 table = pa.Table.from_batches(held).combine_chunks()
                 anchors = table.column("a").to_numpy()
                 cut = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on
                 if cut:
-                    yield work(table.slice(0, cut))
-                    held = table.slice(cut).combine_chunks().to_batches()
+                    yield from settle(table.slice(0, cut).combine_chunks())
+                rest = table.slice(cut).combine_chunks()
+                if rest.num_rows > cap:
+                    yield from wide(rest)
+                    held, streamed = [], anchors[-1]
+                else:
+                    held = rest.to_batches()
         if sum(x.num_rows for x in held):
-            yield work(pa.Table.from_batches(held).combine_chunks())
+            yield from settle(pa.Table.from_batches(held).combine_chunks())
 
     return rows
 
 
-def release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over before the next ones write
-    theirs: it does so once the driver has collected what belonged to those jobs."""
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+def list_columns(column: pa.ListArray, names: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Offsets, and each named field of a column of lists of structs as one array; cheaper than a dict for each."""
+    values = column.values
+    return column.offsets.to_numpy(), [values.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def covered(at: np.ndarray, masks: np.ndarray, n_tokens: int, window: int) -> np.ndarray:
+    """Which tokens of a text the marked windows of its stretches cover; mask -1: all of a stretch."""
+    starts, sizes = at >> 6, at & 63
+    edges = np.zeros(n_tokens + 1, np.int64)
+    whole = masks == -1
+    np.add.at(edges, starts[whole], 1)
+    np.add.at(edges, starts[whole] + sizes[whole] + window - 1, -1)
+    starts, masks = starts[~whole], masks[~whole]
+    for i in range(0, len(masks), 5000):
+        row, bit = np.nonzero((masks[i : i + 5000, None] >> np.arange(MOST)) & 1)
+        begin = starts[i : i + 5000][row] + bit
+        np.add.at(edges, begin, 1)
+        np.add.at(edges, begin + window, -1)
+    return np.cumsum(edges[:-1]) > 0

@@ -6,11 +6,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from kinfold.llm import components, decontam, grouping, langid, linededup, mixing, pii, quality, simhash, substring, suffix, toxicity
+from kinfold.llm import components, decontam, grouping, langid, linededup, mixing, pii, quality, simhash, substring, suffix, toxicity, windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TEXT = "doc_id long, text string"
@@ -256,23 +257,10 @@ def plain_repeats(rows, window, earlier):
     return gone
 
 
-@pytest.mark.parametrize("cap", [1000, 1])
-def test_substring_windows(spark, cap, monkeypatch):
-    monkeypatch.setattr(substring, "CAP", cap)
+@pytest.mark.parametrize("cap", [1000, 3, 1])
+def test_substring_windows(spark, cap):
     rows = corpus(11, vocabulary=6) + [(200, "p q r " * 40), (201, " ".join(f"u{i}" for i in range(35))), (202, " ".join(f"u{i}" for i in range(35)))]
-    keyed = substring.keyed(spark.createDataFrame(rows, TEXT))
-    assert substring.repeated_windows(keyed, cap=cap).count() > 0
-    got = {r["doc_id"]: r for r in substring.query(spark.createDataFrame(rows, TEXT)).collect()}
-    gone = plain_repeats([(d, (t or "").split()) for d, t in rows], 35, False)
-    for d, t in rows:
-        words = (t or "").split()
-        assert (got[d]["n_words"], got[d]["n_removed"]) == (len(words), sum(gone[d]))
-        assert got[d]["kept_sha256"] == sha(" ".join(w for w, x in zip(words, gone[d]) if not x))
-
-
-def test_substring_windows_of_large_anchors(spark):
-    rows = corpus(11, vocabulary=6) + [(200, "p q r " * 40), (201, " ".join(f"u{i}" for i in range(35))), (202, " ".join(f"u{i}" for i in range(35)))]
-    got = {r["doc_id"]: r for r in substring.remove_repeats(spark.createDataFrame(rows, TEXT), cap=1).collect()}
+    got = {r["doc_id"]: r for r in substring.remove_repeats(spark.createDataFrame(rows, TEXT), cap=cap).collect()}
     gone = plain_repeats([(d, (t or "").split()) for d, t in rows], 35, False)
     for d, t in rows:
         words = (t or "").split()
@@ -280,7 +268,7 @@ def test_substring_windows_of_large_anchors(spark):
         assert got[d]["text"] == " ".join(w for w, x in zip(words, gone[d]) if not x)
 
 
-@pytest.mark.parametrize("cap", [1000, 1])
+@pytest.mark.parametrize("cap", [1000, 3, 1])
 def test_suffix_windows(spark, cap):
     rows = corpus(12, n=40, vocabulary=5) + [(200, "ab" * 200), (201, "ab" * 40), (202, "é" * 60)]
     rows = [(99 - d if d < 40 else d, t) for d, t in rows]
@@ -388,3 +376,25 @@ def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.query(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (found.lang_pred == found.lang).mean() > 0.93
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 2)), max_size=25), st.lists(st.integers(1, 5), min_size=25, max_size=25))
+@settings(max_examples=200)
+def test_rows_sorted_by_anchor_are_told_apart_across_batches(rows, sizes):
+    rows, batches, at = sorted(rows), [], 0
+    for n in sizes:
+        part = rows[at : at + n]
+        batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)] + [pa.array([False] * len(part))], ["a", "s", "doc_id", "own"]))
+        at += n
+    got = [tuple(r.values())[:3] for b in windows.with_company(iter(batches)) for r in b.to_pylist()]
+    assert got == [r for r in rows if sum(x[0] == r[0] for x in rows) > 1]
+    got = sorted((r["a"], r["s"], r["doc_id"], r["kind"]) for b in suffix.kinds(iter(batches)) for r in b.to_pylist())
+    want, seen = [], {}
+    for a, s, d in rows:
+        if (a, s) not in seen:
+            seen[a, s] = d
+            if len({x[1] for x in rows if x[0] == a}) > 1:
+                want.append((a, s, d, suffix.LEAD))
+        else:
+            want.append((a, s, d, suffix.LATER if d > seen[a, s] else suffix.SAME))
+    assert got == sorted(want)
