@@ -7,9 +7,10 @@ Equal windows have equal anchors, so stretches of windows with the same anchor (
 Identical stretches are represented once, with the smallest id that has them: the rows of larger ids lose
 all windows of the stretch. The distinct stretches of an anchor go into suffix arrays (see ``grouping``),
 where equal windows are neighbours, compared byte by byte; the smallest id among them is what the
-representative is held against. The windows of anchors with more than ``cap`` distinct stretches (the
-edges of a passage that stands among ever different neighbours) are not brought together: Spark groups
-them by anchor and their bytes, with partial aggregation.
+representative is held against. Anchors with more than ``cap`` distinct stretches (the edges of a passage
+that stands among ever different neighbours) are not brought together: suffix arrays settle what equal
+windows some of them have, and one of each kind of window that is left is dealt out by anchor and bytes, so
+that equal ones stand side by side.
 
 Null texts are empty; texts shorter than a window lose nothing; an empty table gives no row. A null id is
 smaller than any other; rows with equal ids never remove each other, repeated rows included. Texts of any
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
 from .grouping import suffix_arrays
-from .windows import CAP, all_stretches, by_anchor, byte_grams, covered, keyed, list_columns, mixed, window_sums
+from .windows import CAP, MOST, all_stretches, by_anchor, byte_grams, covered, keyed, list_columns, window_sums
 
 WINDOW = 50
 GRAM = 16
-#: Symbols of one suffix array, about: parts of larger groups are dealt out by what they hold.
-BLOCK = 1500
+#: Symbols of one suffix array at most, about; small groups share arrays of about PACK.
+BLOCK, PACK = 1500, 500
 _LEAST = -(1 << 63)
 _MASKS = "a long, s long, mask long, j int, d long, w binary"
 
@@ -108,54 +109,47 @@ def _contents(window: int):
     return rows
 
 
-def _deal(group: np.ndarray, hashes: np.ndarray, docs: np.ndarray, row: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parts for the suffix arrays, from the windows (by position) that may be shared: block, start in
-    the buffer, length. A small group is one block of runs of windows. A large one is dealt out by
-    window: those that may be equal in pieces that each hold the one with the smallest id."""
-    runs = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))
-    length = np.diff(np.append(runs, len(at))) + window - 1
-    total = np.bincount(group[runs], length + 1)
-    small = total[group[runs]] <= BLOCK
-    blocks, starts, sizes = [group[runs][small]], [at[runs][small]], [length[small]]
-    large = np.flatnonzero(total[group] > BLOCK)
-    if len(large):
-        order = large[np.lexsort((docs[large], hashes[large], group[large]))]
-        new = np.append(True, (group[order][1:] != group[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
-        first = np.flatnonzero(new)
-        nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        most = max(1, BLOCK // (window + 1) - 1)
-        piece = np.cumsum(new | ((nth > 0) & (nth % most == 0))) + len(total)
-        again = np.flatnonzero((nth > 0) & (nth % most == 0))  # later pieces hold the first window too
-        lead = order[first[np.cumsum(new) - 1]]
-        blocks += [piece, piece[again]]
-        starts += [at[order], at[lead[again]]]
-        sizes += [np.full(len(order), window), np.full(len(again), window)]
-    block, start, size = map(np.concatenate, (blocks, starts, sizes))
-    by = np.argsort(block, kind="stable")
-    return block[by], start[by], size[by]
+def _pieces(group: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of groups that are too large for one suffix array, dealt out by hash, where a window alone
+    with its hash stays out: piece and start of each. Every piece holds windows of one hash, the one with
+    the smallest id among them."""
+    order = np.lexsort((docs, hashes, group))
+    new = np.append(True, (group[order][1:] != group[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
+    times = np.diff(np.append(np.flatnonzero(new), len(order)))
+    order, new = (x[np.repeat(times > 1, times)] for x in (order, new))
+    first = np.flatnonzero(new)
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    most = max(1, BLOCK // (window + 1) - 1)
+    later = (nth > 0) & (nth % most == 0)  # a further piece, which holds the first window too
+    piece = np.cumsum(new | later)
+    lead = order[first[np.cumsum(new) - 1]] if len(order) else order
+    return np.append(piece, piece[later]), at[np.append(order, lead[later])]
 
 
 def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """One mask per stretch: bit j is set if its window j is in a stretch of the same anchor with a
-    smaller id. Rows are sorted by anchor."""
+    smaller id. Rows are sorted by anchor. Groups of up to BLOCK bytes go into suffix arrays whole, side by
+    side; of larger ones the windows whose hash is not alone."""
     buffer = np.frombuffer(b"".join(data), np.uint8)
-    ends = np.cumsum([len(x) for x in data])
-    begins = ends - np.array([len(x) for x in data])
-    row = np.repeat(np.arange(len(data)), ends - begins)
+    length = np.array([len(x) for x in data])
+    ends = np.cumsum(length)
+    begins = ends - length
+    row = np.repeat(np.arange(len(data)), length)
     masks = np.zeros(len(data), np.int64)
-    group_of = np.cumsum(np.append(True, anchors[1:] != anchors[:-1])) - 1
-    at = np.flatnonzero(np.arange(len(buffer)) + window <= ends[row])  # where a window lies within its stretch
-    if not len(at):
+    group = np.cumsum(np.append(True, anchors[1:] != anchors[:-1])) - 1
+    total = np.bincount(group, length + 1)
+    small = total <= BLOCK
+    packed = (np.cumsum(np.where(small, total, 0)) // PACK).astype(np.int64)[group]
+    some = np.flatnonzero(small[group])
+    block, start, size = packed[some], begins[some], length[some]
+    if not small.all():
+        inside = np.flatnonzero(~small[group[row]] & (np.arange(len(buffer)) + window <= ends[row]))
+        hashes = window_sums(byte_hashes(buffer.tobytes()), window, GRAM)[inside]
+        piece, at = _pieces(group[row[inside]], hashes, docs[row[inside]], inside, window)
+        by = np.argsort(piece, kind="stable")
+        block, start, size = np.append(block, piece[by] + packed[-1] + 1), np.append(start, at[by]), np.append(size, np.full(len(at), window))
+    if not len(block):
         return masks
-    hashes = window_sums(byte_hashes(buffer.tobytes()), window, GRAM)[at]
-    group = group_of[row[at]]
-    _, back, times = np.unique(mixed(hashes.view(np.uint64) + group.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)), return_inverse=True, return_counts=True)
-    keep = times[back] > 1
-    at, group, hashes = at[keep], group[keep], hashes[keep]
-    del back, times, keep
-    if not len(at):
-        return masks
-    block, start, size = _deal(group, hashes, docs[row[at]], row[at], at, window)
     source = np.repeat(start - np.append(0, np.cumsum(size + 1)[:-1]), size + 1) + np.arange(int((size + 1).sum()))
     last = np.cumsum(size + 1) - 1  # the separator after each part
     symbols = buffer[np.minimum(source, len(buffer) - 1)].astype(np.int16) + 2
@@ -180,6 +174,23 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     return masks
 
 
+def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, s, j of the windows that have one with equal bytes and a smaller id before them, from rows
+    sorted by a, w (bytes), d. Only the first row of the last group is held."""
+    last = first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, d = (batch.column(c).to_numpy() for c in ("a", "d"))
+        w = np.array(batch.column("w").to_pylist(), object)
+        new = np.append(True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]))
+        new[0] = last != (a[0], w[0])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(a)), -1))
+        least = np.where(at < 0, first, d[at]) if at[0] < 0 else d[at]
+        yield batch.select(["a", "s", "j"]).filter(pa.array(d > least.astype(np.int64)))
+        last, first = (a[-1], w[-1]), int(least[-1])
+
+
 def _rows(a, s, mask=None, j=None, d=None, w=None) -> pa.RecordBatch:
     n = len(a)
     cols = [pa.array(a, pa.int64()), pa.array(s, pa.int64())]
@@ -209,17 +220,18 @@ def earlier_windows(docs: DataFrame, unique: bool, window: int = WINDOW, cap: in
         return _rows(a[some], s[some], masks[some])
 
     def windows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for i in range(0, table.num_rows, 500):
-            a, s, d = (table.column(c)[i : i + 500].to_numpy() for c in ("a", "s", "d"))
-            data = table.column("data")[i : i + 500].to_pylist()
-            sizes = np.array([len(x) - window + 1 for x in data])
-            at = np.repeat(np.arange(len(a)), sizes)
-            yield _rows(a[at], s[at], None, np.concatenate([np.arange(n) for n in sizes]), d[at], [x[j : j + window] for x, n in zip(data, sizes, strict=True) for j in range(n)])
+        for i in range(0, table.num_rows, 2000):
+            a, s, d = (table.column(c)[i : i + 2000].to_numpy() for c in ("a", "s", "d"))
+            data = table.column("data")[i : i + 2000].to_pylist()
+            masks = shared_windows(data, a, d, window)  # what these decide among themselves
+            some = masks != 0
+            yield _rows(a[some], s[some], masks[some])
+            row, j = np.nonzero(~(masks[:, None] >> np.arange(MOST)) & 1 & (np.arange(MOST) <= np.array([len(x) - window for x in data])[:, None]))
+            yield _rows(a[row], s[row], None, j, d[row], [data[r][x : x + window] for r, x in zip(row.tolist(), j.tolist(), strict=True)])
 
     masks = stage(contents.mapInArrow(by_anchor(masks_of, windows_of, cap), _MASKS), "masks")
-    large = masks.filter("w is not null").select("a", "s", "j", "d", "w")
-    least = large.groupBy("a", "w").agg(F.min("d").alias("least"), F.max("d").alias("_most")).filter("least < _most").select("a", "w", "least")
-    large = large.join(least, ["a", "w"]).filter("d > least").groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    large = masks.filter("w is not null").select("a", "s", "j", "d", "w").repartition(parallel, "a", "w").sortWithinPartitions("a", "w", "d")
+    large = large.mapInArrow(later_windows, "a long, s long, j int").select("a", "s", F.expr("shiftleft(1L, j)").alias("mask"))
     masks = masks.filter("mask is not null").select("a", "s", "mask").unionByName(large).groupBy("a", "s").agg(F.bit_or("mask").alias("mask"))
     later = found.filter(F.col("kind") == LATER).select("key", "at", F.lit(-1).cast("long").alias("mask"))
     rest = found.filter(F.col("kind") != LATER).select("a", "s", "key", "at").join(masks, ["a", "s"]).select("key", "at", "mask")
