@@ -61,8 +61,12 @@ def suffix_arrays(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             continue
         p, k = np.unique(p, return_counts=True)
         old = group[p]
-        by = np.lexsort((k, old))
-        p, k, old = p[by], k[by], old[by]
+        if n < 1 << 21:  # group, count and place fit one number, which sorts faster
+            packed = np.sort(old.astype(np.int64) << 42 | k << 21 | p)
+            old, k, p = packed >> 42, packed >> 21 & 0x1FFFFF, packed & 0x1FFFFF
+        else:
+            by = np.lexsort((k, old))
+            p, k, old = p[by], k[by], old[by]
         run = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
         many = np.diff(np.append(run, len(p)))
         first = old[run] + size[old[run]] - many  # where what moves begins in its old group

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import stage
 from .grouping import suffix_arrays
-from .windows import CAP, MOST, all_stretches, by_anchor, byte_grams, covered, keyed, list_columns, window_sums
+from .windows import CAP, MOST, all_stretches, by_anchor, byte_grams, covered, keyed, list_columns, mixed, window_sums
 
 WINDOW = 50
 GRAM = 16
@@ -110,26 +110,24 @@ def _contents(window: int):
 
 
 def _pieces(group: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of groups that are too large for one suffix array, dealt out by hash, where a window alone
-    with its hash stays out: piece and start of each. Every piece holds windows of one hash, the one with
-    the smallest id among them."""
+    """Windows of groups that are too large for one suffix array, dealt out by hash: piece and start of
+    each. Every piece holds windows of one hash, the one with the smallest id among them."""
     order = np.lexsort((docs, hashes, group))
     new = np.append(True, (group[order][1:] != group[order][:-1]) | (hashes[order][1:] != hashes[order][:-1]))
-    times = np.diff(np.append(np.flatnonzero(new), len(order)))
-    order, new = (x[np.repeat(times > 1, times)] for x in (order, new))
     first = np.flatnonzero(new)
     nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
     most = max(1, BLOCK // (window + 1) - 1)
     later = (nth > 0) & (nth % most == 0)  # a further piece, which holds the first window too
     piece = np.cumsum(new | later)
-    lead = order[first[np.cumsum(new) - 1]] if len(order) else order
+    lead = order[first[np.cumsum(new) - 1]]
     return np.append(piece, piece[later]), at[np.append(order, lead[later])]
 
 
 def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """One mask per stretch: bit j is set if its window j is in a stretch of the same anchor with a
-    smaller id. Rows are sorted by anchor. Groups of up to BLOCK bytes go into suffix arrays whole, side by
-    side; of larger ones the windows whose hash is not alone."""
+    smaller id. Rows are sorted by anchor. Stretches none of whose windows has a hash that comes again in
+    their group stay out. The others go into suffix arrays whole, small groups side by side, and window by
+    window in groups of more than BLOCK bytes; which are equal is told by their order there and their bytes."""
     buffer = np.frombuffer(b"".join(data), np.uint8)
     length = np.array([len(x) for x in data])
     ends = np.cumsum(length)
@@ -137,14 +135,23 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     row = np.repeat(np.arange(len(data)), length)
     masks = np.zeros(len(data), np.int64)
     group = np.cumsum(np.append(True, anchors[1:] != anchors[:-1])) - 1
-    total = np.bincount(group, length + 1)
+    inside = np.flatnonzero(np.arange(len(buffer)) + window <= ends[row])  # where a window lies within its stretch
+    if not len(inside):
+        return masks
+    hashes = window_sums(byte_hashes(buffer.tobytes()), window, GRAM)[inside]
+    _, back, times = np.unique(mixed(hashes.view(np.uint64) + group[row[inside]].astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)), return_inverse=True, return_counts=True)
+    keep = times[back] > 1
+    inside, hashes = inside[keep], hashes[keep]
+    shares = np.zeros(len(data), bool)
+    shares[row[inside]] = True
+    total = np.bincount(group, np.where(shares, length + 1, 0))
     small = total <= BLOCK
     packed = (np.cumsum(np.where(small, total, 0)) // PACK).astype(np.int64)[group]
-    some = np.flatnonzero(small[group])
+    some = np.flatnonzero(small[group] & shares)
     block, start, size = packed[some], begins[some], length[some]
-    if not small.all():
-        inside = np.flatnonzero(~small[group[row]] & (np.arange(len(buffer)) + window <= ends[row]))
-        hashes = window_sums(byte_hashes(buffer.tobytes()), window, GRAM)[inside]
+    large = ~small[group[row[inside]]]
+    if large.any():
+        inside, hashes = inside[large], hashes[large]
         piece, at = _pieces(group[row[inside]], hashes, docs[row[inside]], inside, window)
         by = np.argsort(piece, kind="stable")
         block, start, size = np.append(block, piece[by] + packed[-1] + 1), np.append(start, at[by]), np.append(size, np.full(len(at), window))
