@@ -7,8 +7,9 @@ further; those repeated at 8 words are extended to 16, then 32, and at last to t
   their anchor only; one row stands for a stretch of consecutive windows with one anchor (see ``windows``).
 * identical stretches are represented once, with the number of times (two stands for more) that they occur.
 * the windows of all stretches whose anchor occurs again are counted, with that number, by the hash of
-  their first 8 words, the survivors by 16, and so on: in one task for each anchor, or by partial
-  aggregation over all tasks for anchors of more than ``cap`` distinct stretches.
+  their first 8 words, the survivors by 16, and so on. Anchors of more than ``cap`` distinct stretches are
+  not brought together: the levels are gone through in parts of them, and one of each kind of window of a
+  part is dealt out by anchor and hash, so that those of different parts stand side by side.
 
 A word is removed if a window that covers it starts anywhere else too, in the same document or
 another. Windows are judged on the input. Texts with fewer words lose nothing; null texts are empty,
@@ -32,7 +33,7 @@ from .windows import CAP, all_stretches, by_anchor, covered, grams, keyed, list_
 
 WINDOW = 35
 GRAM = 8
-_MASKS = "a long, s long, mask long, j int, w int, h array<long>"
+_MASKS = "a long, s long, mask long, j int, h long"
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -87,11 +88,11 @@ def level_masks(data: list[bytes], anchors: np.ndarray, weights: np.ndarray, lev
     return masks
 
 
-def _rows(a, s, mask=None, j=None, w=None, h=None) -> pa.RecordBatch:
+def _rows(a, s, mask=None, j=None, h=None) -> pa.RecordBatch:
     n = len(a)
     cols = [pa.array(a, pa.int64()), pa.array(s, pa.int64())]
-    cols += [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((mask, pa.int64()), (j, pa.int32()), (w, pa.int32()), (h, pa.list_(pa.int64())))]
-    return pa.RecordBatch.from_arrays(cols, ["a", "s", "mask", "j", "w", "h"])
+    cols += [pa.nulls(n, t) if x is None else pa.array(x, t) for x, t in ((mask, pa.int64()), (j, pa.int32()), (h, pa.int64()))]
+    return pa.RecordBatch.from_arrays(cols, ["a", "s", "mask", "j", "h"])
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> DataFrame:
@@ -99,13 +100,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> D
     ``keyed``) is repeated."""
     spark, levels = docs.sparkSession, _levels(window)
     found = all_stretches(docs, ["key"], _gram_hashes, window, GRAM, own=True)
-    found = stage(found.mapInArrow(with_company, found.schema), "stretches")
+    found = stage(found.mapInArrow(with_company(["a"], "own"), found.schema), "stretches")
     kinds = found.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "at")).alias("one"))
     parts = kinds.select("one.key", F.struct("a", "s", F.least("c", F.lit(2)).cast("int").alias("w"), "one.at").alias("part"))
     parts = parts.groupBy("key").agg(F.collect_list("part").alias("parts"))
     # Rows repeated as a whole have one key: their stretches come again here, with the weight of repeated ones.
     contents = docs.join(parts, "key").select("text", "parts").mapInArrow(_contents(window), "a long, s long, w int, data binary")
-    contents = contents.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s")
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    contents = contents.repartition(parallel, "a").sortWithinPartitions("a", "s")
 
     def masks_of(table: pa.Table) -> pa.RecordBatch:
         a, s, w = (table.column(c).to_numpy() for c in ("a", "s", "w"))
@@ -114,20 +116,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, cap: int = CAP) -> D
         return _rows(a[some], s[some], masks[some])
 
     def windows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for i in range(0, table.num_rows, 500):
-            a, s, w = (table.column(c)[i : i + 500].to_numpy() for c in ("a", "s", "w"))
-            hashes = [np.frombuffer(x, np.uint64) for x in table.column("data")[i : i + 500].to_pylist()]
+        for i in range(0, table.num_rows, 10 * cap):
+            part = table.slice(i, 10 * cap)
+            yield masks_of(part)  # what the levels tell within the part
+            a, s = (part.column(c).to_numpy() for c in ("a", "s"))
+            hashes = [np.frombuffer(x, np.uint64) for x in part.column("data").to_pylist()]
             sizes = np.array([len(x) - (window - GRAM) for x in hashes])
-            cols = [np.concatenate([window_hashes(x, level, GRAM, 0, n) for x, n in zip(hashes, sizes, strict=True)]) for level in levels]
-            at = np.repeat(np.arange(len(a)), sizes)
-            yield _rows(a[at], s[at], None, np.concatenate([np.arange(n) for n in sizes]), w[at], list(np.stack(cols, 1)))
+            row = np.repeat(np.arange(len(a)), sizes)
+            j = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            h = np.concatenate([window_hashes(x, window, GRAM, 0, n) for x, n in zip(hashes, sizes, strict=True)])
+            # Of windows that are repeated within the part one stands for all.
+            one = np.sort(np.unique(np.stack([a[row], h]), axis=1, return_index=True)[1])
+            yield _rows(a[row[one]], s[row[one]], None, j[one], h[one])
 
     masks = stage(contents.mapInArrow(by_anchor(masks_of, windows_of, cap), _MASKS), "masks")
-    large = masks.filter("h is not null").select("a", "s", "j", "w", "h")
-    for i in range(len(levels)):
-        again = large.groupBy("a", F.col("h")[i].alias("x")).agg(F.sum("w").alias("_c")).filter("_c > 1").drop("_c")
-        large = large.withColumn("x", F.col("h")[i]).join(again, ["a", "x"]).drop("x")
-    large = large.groupBy("a", "s").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    large = masks.filter("h is not null").select("a", "h", "s", "j").repartition(parallel, "a", "h").sortWithinPartitions("a", "h")
+    large = large.mapInArrow(with_company(["a", "h"]), large.schema).select("a", "s", F.expr("shiftleft(1L, j)").alias("mask"))
     masks = masks.filter("mask is not null").select("a", "s", "mask").unionByName(large).groupBy("a", "s").agg(F.bit_or("mask").alias("mask"))
     return found.select("a", "s", "key", "at").join(masks, ["a", "s"]).select("key", "at", "mask")
 

@@ -227,9 +227,9 @@ def earlier_windows(docs: DataFrame, unique: bool, window: int = WINDOW, cap: in
         return _rows(a[some], s[some], masks[some])
 
     def windows_of(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for i in range(0, table.num_rows, 2000):
-            a, s, d = (table.column(c)[i : i + 2000].to_numpy() for c in ("a", "s", "d"))
-            data = table.column("data")[i : i + 2000].to_pylist()
+        for i in range(0, table.num_rows, 10 * cap):
+            a, s, d = (table.column(c)[i : i + 10 * cap].to_numpy() for c in ("a", "s", "d"))
+            data = table.column("data")[i : i + 10 * cap].to_pylist()
             masks = shared_windows(data, a, d, window)  # what these decide among themselves
             some = masks != 0
             yield _rows(a[some], s[some], masks[some])

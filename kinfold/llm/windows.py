@@ -169,21 +169,27 @@ def all_stretches(docs: DataFrame, ids: list[str], hashes_of: Callable, window:
     return rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s", *ids, "at")
 
 
-def with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``a``, those whose anchor has another row, and those marked ``own``. The last row
-    of a batch waits for the next."""
-    held, before = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        a = table.column("a").to_numpy()
-        same = np.append(before, a[1:] == a[:-1])
-        keep = (same | np.append(same[1:], False) | table.column("own").to_numpy())[:-1]
-        yield from table.slice(0, len(a) - 1).filter(pa.array(keep)).to_batches()
-        held, before = table.slice(len(a) - 1).to_batches()[0], bool(same[-1])
-    if held is not None and (before or held.column("own")[0].as_py()):
-        yield held
+def with_company(keys: list[str], marked: str | None = None):
+    """A mapInArrow function: of rows sorted by ``keys`` (longs), those whose keys another row has too, and
+    those with a true ``marked``. The last row of a batch waits for the next."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            cols = [table.column(k).to_numpy() for k in keys]
+            same = np.append(before, np.all([x[1:] == x[:-1] for x in cols], axis=0))
+            keep = same | np.append(same[1:], False)
+            if marked:
+                keep |= table.column(marked).to_numpy()
+            yield from table.slice(0, len(same) - 1).filter(pa.array(keep[:-1])).to_batches()
+            held, before = table.slice(len(same) - 1).to_batches()[0], bool(same[-1])
+        if held is not None and (before or marked and held.column(marked)[0].as_py()):
+            yield held
+
+    return rows
 
 
 def by_anchor(work: Callable, wide: Callable, cap: int):

@@ -386,7 +386,7 @@ def test_rows_sorted_by_anchor_are_told_apart_across_batches(rows, sizes):
         part = rows[at : at + n]
         batches.append(pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)] + [pa.array([False] * len(part))], ["a", "s", "doc_id", "own"]))
         at += n
-    got = [tuple(r.values())[:3] for b in windows.with_company(iter(batches)) for r in b.to_pylist()]
+    got = [tuple(r.values())[:3] for b in windows.with_company(["a"], "own")(iter(batches)) for r in b.to_pylist()]
     assert got == [r for r in rows if sum(x[0] == r[0] for x in rows) > 1]
     got = sorted((r["a"], r["s"], r["doc_id"], r["kind"]) for b in suffix.kinds(iter(batches)) for r in b.to_pylist())
     want, seen = [], {}
