@@ -1,10 +1,10 @@
 """SimHash near-dedup with a byte-position inverted index.
 
 Two 64-bit fingerprints that differ in at most 4 bits agree in at least 4 of their 8 bytes, each at
-its own position. Distinct fingerprints are indexed by every choice of 4 positions with the bytes
-there, so that each such pair shares a posting list; within a list the shared positional bytes of a
-pair are tallied over all 8 positions, pairs that reach the minimum of 4 are kept and verified by
-their differing bits.
+its own position. Distinct fingerprints are indexed by every choice of 3 positions with the bytes
+there, so that such a pair shares at least 4 of its 56 posting lists. Within a list the shared positional
+bytes of every pair are tallied; pairs that share fewer than the guaranteed 4, the bulk of those that meet,
+are dropped, and the others verified by their differing bits.
 
 Lists of more than ``cap`` fingerprints are not paired. Their members are linked exactly another
 way: two fingerprints differ in at most 4 bits if and only if some value is within 2 bits of both,
@@ -12,8 +12,10 @@ so each member lists the 2,081 values within 2 bits of it, and members that list
 linked to the smallest of them. That is linear in the members and loses no component.
 
 Exact copies and texts with the same fingerprint are one node. Null texts and texts without a word
-have fingerprint zero, which links like any other. Rows with equal ids are told apart by nothing: a
-component holds ids. A null id takes part in no minimum unless its whole component is null.
+have fingerprint zero, which links like any other; an empty table gives no row. Rows with equal ids are
+told apart by nothing: a component holds ids, and each row gets its own row. A null id takes part in no
+minimum unless its whole component is null. Texts of any length are read whole. A bit set in exactly half
+of the hashes is 0. Other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,16 +28,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import stage, unused
 from .components import components
 
 SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
 MIN_BYTES = 8 - MAX_BITS
+#: Byte positions of a posting list.
+POSTED = 3
 CAP = 512
 
-_MASKS = np.array([sum(0xFF << (8 * i) for i in chosen) for chosen in combinations(range(8), MIN_BYTES)], np.uint64)
+_MASKS = np.array([sum(0xFF << (8 * i) for i in chosen) for chosen in combinations(range(8), POSTED)], np.uint64)
 _BALL = np.array([0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i, j in combinations(range(64), 2))], np.uint64)
 
 
@@ -170,6 +174,7 @@ def query(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents with the smallest id of their near-duplicate component, rows as they are; of
     rows with the same id all stay together. Rows with a null id stay."""
-    names = docs.columns
-    kept = near_duplicates(docs).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*names)
+    key = unused(docs.columns, "_kept")
+    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    named = docs.withColumn(key, F.col("doc_id").cast("long"))
+    return named.filter(F.col(key).isNull()).unionByName(named.join(kept, key, "left_semi").select(*named.columns)).select(*(F.col(f"`{c}`") for c in docs.columns))

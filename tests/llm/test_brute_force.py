@@ -420,3 +420,24 @@ def test_rows_sorted_by_anchor_are_told_apart_across_batches(rows, sizes):
         else:
             want.append((a, s, d, suffix.LATER if d > seen[a, s] else suffix.SAME))
     assert got == sorted(want)
+
+
+@given(st.integers(0, (1 << 64) - 1), st.lists(st.tuples(st.integers(0, 7), st.integers(1, 255)), max_size=6))
+@settings(max_examples=300)
+def test_the_count_of_shared_bytes_decides(a, changes):
+    b = a
+    for i, x in changes:
+        b ^= x << (8 * i)
+    shared = sum((a ^ b) >> (8 * i) & 0xFF == 0 for i in range(8))
+    lists = sum((a & int(m)) == (b & int(m)) for m in simhash._MASKS)
+    assert len(simhash._MASKS) == 56 and lists == shared * (shared - 1) * (shared - 2) // 6
+    fps = np.array([a, b], np.uint64).view(np.int64)
+    for m in simhash._MASKS:
+        if a != b and (a & int(m)) == (b & int(m)):
+            found, large = simhash._pairs([fps & np.uint64(m).view(np.int64)], fps, 512)
+            assert len(found) == (shared >= 4 and (a ^ b).bit_count() <= 4) and not len(large)
+
+
+def test_a_pair_may_share_a_list_and_fail_the_count():
+    a, b = 0, sum(1 << (8 * i) for i in range(5))
+    assert sum(a & int(m) == b & int(m) for m in simhash._MASKS) == 1
