@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import id_fold
 
 MAX_LABELLED = 12_000
-MAX_TERMS = 3_000
 #: A term must be labelled this often, and this far from chance (likelihood ratio).
 MIN_TOXIC = 4
 MIN_EVIDENCE = 14.0
@@ -170,18 +169,21 @@ class Scorer:
         return [math.log1p(direct), math.log1p(stems), math.log1p(fuzzy), math.log1p(quoted), math.log1p(100 * direct / n), math.log1p(100 * (stems + fuzzy) / n), math.log1p(dense), math.log1p(sum(seen.values())), float(total > 0)]
 
 
-def _evidence(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
-    """Likelihood ratio of a term's counts against one rate for both labels; negative if it is rarer in toxic ones."""
-    total = n_pos + n_neg
-    rate = (pos + neg) / total
-    part = lambda x, n: (x * math.log(x / (n * rate)) if x else 0.0) + ((n - x) * math.log((n - x) / (n * (1 - rate))) if n > x and rate < 1 else 0.0)
-    value = part(pos, n_pos) + part(neg, n_neg)
-    return value if pos / n_pos > neg / n_neg else -value
+def _evidence(n_pos: int, n_neg: int):
+    """Likelihood ratio of a term's counts ``pos`` and ``neg`` against one rate for both labels, as a column."""
+    rate = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
+
+    def part(x, n):
+        some = F.when(x > 0, x * F.log(x / (n * rate))).otherwise(0.0)
+        return some + F.when((n - x > 0) & (rate < 1), (n - x) * F.log((n - x) / (n * (1 - rate)))).otherwise(0.0)
+
+    return part(F.col("pos"), F.lit(float(n_pos))) + part(F.col("neg"), F.lit(float(n_neg)))
 
 
 def learn_terms(docs: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     """The lexicon of ``docs`` (text, toxic): term (a star ends a beginning) and log odds. Documents are
-    counted by Spark; what comes to the driver is at most MAX_TERMS terms."""
+    counted and their evidence is tested by Spark; what comes to the driver are the terms of the lexicon,
+    of which a bounded sample of labelled documents yields no more than it has words in toxic ones."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
@@ -203,12 +205,8 @@ def learn_terms(docs: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
     counts = docs.select("text", "toxic").mapInArrow(words, "term string, pos long, neg long")
     counts = counts.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     lift = (F.col("pos") + 0.5) / (n_pos + 1) / ((F.col("neg") + 0.5) / (n_neg + 1))
-    counts = counts.filter((F.col("pos") >= MIN_TOXIC) & (lift > 4)).orderBy(F.desc(F.col("pos") * F.log(lift)), "term").limit(MAX_TERMS)
-    out = {}
-    for r in counts.collect():
-        if _evidence(r["pos"], r["neg"], n_pos, n_neg) >= MIN_EVIDENCE:
-            out[r["term"]] = round(math.log((r["pos"] + 0.5) / (n_pos + 1) / ((r["neg"] + 0.5) / (n_neg + 1))), 6)
-    return out
+    counts = counts.filter((F.col("pos") >= MIN_TOXIC) & (lift > 4) & (_evidence(n_pos, n_neg) >= MIN_EVIDENCE))
+    return {r["term"]: round(r["weight"], 6) for r in counts.select("term", F.log(lift).alias("weight")).collect()}
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
