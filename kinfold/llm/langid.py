@@ -7,7 +7,9 @@ document takes the language of the nearest prototype by cosine.
 
 A text is lower-cased, and each run of other characters is one boundary symbol. Null texts and
 texts without a letter are ``und`` with score 0, and so is everything if no labelled row was given.
-Ties go to the first language in code point order.
+Ties go to the first language in code point order. Rows with equal ids or texts each get their row; an
+empty table gives none. Long texts are read whole. Columns other than doc_id, text and (for learning) lang,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_fold
+from .common import id_fold, unused
 
 DIMENSIONS = 1024
 SEED = 7
@@ -142,9 +144,9 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a language: all but those found ``und``."""
-    names = docs.columns
+    """The documents whose text has a language, with their columns as they are: all but those found ``und``."""
+    key = unused(docs.columns, "_key")
     prototypes = learn_prototypes(docs.filter(id_fold("doc_id", 4) != 2))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    unknown = identify(keyed.select(F.col("_key").alias("doc_id"), "text"), prototypes).filter("lang_pred = 'und'")
-    return keyed.join(unknown.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*names)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    unknown = identify(keyed.select(F.col(key).alias("doc_id"), "text"), prototypes).filter("lang_pred = 'und'")
+    return keyed.join(unknown.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,9 @@ insertion.
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased, held as a 128-bit
 BLAKE2 digest. Each row is a document of its own: a repeated row counts again, a null or empty
-text is one empty line, whose key is too short to be counted. Rows with a null ``doc_id`` are kept.
+text is one empty line, whose key is too short to be counted. Rows with a null ``doc_id`` are kept, told
+apart by their text. An empty table gives no row. Long texts are read whole. Other columns of the input,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import stage, unused
+from .windows import keyed
 
 SLOTS = 4
 MAX_KICKS = 500
@@ -195,12 +198,12 @@ def drop_lines(docs: DataFrame, counts: DataFrame, min_docs: int = 10, filter_li
                 at = np.flatnonzero(pairs[:, 1] % shards == shard)
                 keep[at] = one.contains(pairs[at, 0])
             ids = pa.array(ids, pa.int64()).filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[keep, 0]), pa.array(pairs[keep, 1])], ["doc_id", "k1", "k2"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(pairs[keep, 0]), pa.array(pairs[keep, 1])], ["key", "k1", "k2"])
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    found = base.mapInArrow(passing, "doc_id long, k1 long, k2 long")
+    base, _ = keyed(docs)
+    found = base.select("key", "text").mapInArrow(passing, "key long, k1 long, k2 long")
     found = found.join(hot.select("k1", "k2"), ["k1", "k2"])
-    drops = found.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(F.struct("k1", "k2")).alias("_drop"))
+    drops = found.groupBy("key").agg(F.collect_set(F.struct("k1", "k2")).alias("_drop"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +217,7 @@ def drop_lines(docs: DataFrame, counts: DataFrame, min_docs: int = 10, filter_li
                 dropped.append(len(own) - len(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "text", "n_lines", "n_dropped"])
 
-    both = base.join(drops, F.col("doc_id").eqNullSafe(F.col("_of")), "left").select("doc_id", "text", "_drop")
+    both = base.join(drops, "key", "left").select("doc_id", "text", "_drop")
     return both.mapInArrow(cut, "doc_id long, text string, n_lines long, n_dropped long")
 
 
@@ -226,13 +229,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 def without_common_lines(docs: DataFrame, min_docs: int = 10) -> DataFrame:
     """The documents with their common lines dropped and n_chars, where there is one, brought up to
     date; the other columns as they are. Texts without such lines stay as they are, null included."""
-    names = docs.columns
-    cut = dedup_lines(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")), min_docs).filter("n_dropped > 0")
-    cut = cut.select(F.col("doc_id").alias("_key"), F.col("text").alias("_kept")).dropDuplicates(["_key"])
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(cut, "_key", "left").withColumn("text", F.coalesce("_kept", "text"))
-    if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*names)
+    key, kept = unused(docs.columns, "_key"), unused(docs.columns, "_kept")
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    cut = dedup_lines(rows.select(F.col(key).alias("doc_id"), "text"), min_docs).filter("n_dropped > 0")
+    cut = cut.select(F.col("doc_id").alias(key), F.col("text").alias(kept)).dropDuplicates([key])
+    rows = rows.join(cut, key, "left").withColumn("text", F.coalesce(kept, "text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
