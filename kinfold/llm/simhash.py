@@ -4,7 +4,8 @@ Two 64-bit fingerprints that differ in at most 4 bits agree in at least 4 of the
 its own position. Distinct fingerprints are indexed by every choice of 3 positions with the bytes
 there, so that such a pair shares at least 4 of its 56 posting lists. Within a list the shared positional
 bytes of every pair are tallied; pairs that share fewer than the guaranteed 4, the bulk of those that meet,
-are dropped, and the others verified by their differing bits.
+are dropped, the others verified by their differing bits, and of a group of linked ones one link for each
+goes on, not all pairs.
 
 Lists of more than ``cap`` fingerprints are not paired. Their members are linked exactly another
 way: two fingerprints differ in at most 4 bits if and only if some value is within 2 bits of both,
@@ -114,6 +115,25 @@ def _pairs(runs: list[np.ndarray], fps: np.ndarray, cap: int) -> tuple[np.ndarra
     return np.unique(np.concatenate(links), axis=0) if links else np.zeros((0, 2), np.int64), np.unique(fps[large])
 
 
+def _forest(pairs: np.ndarray) -> np.ndarray:
+    """At most one link for each member in place of all pairs: to the first of those that it is linked
+    with, over any number of steps."""
+    nodes, ends = np.unique(pairs, return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[label[other]], nodes[other]], 1)
+
+
 def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], cap: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Whole lists from sorted rows: a batch is cut at its last list, which is carried on. A list
     longer than ``cap`` is handed over in pieces that each are longer than ``cap``."""
@@ -134,12 +154,13 @@ def _sorted_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], cap:
 
 
 def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
-    """u, v: links between distinct fingerprints (column fp) that yield their components: every pair
-    within MAX_BITS that shares a list of at most ``cap``, and a chain over the pairs that don't."""
+    """u, v: links between distinct fingerprints (column fp) that yield their components: trees over the
+    pairs within MAX_BITS that share lists of at most ``cap``, and a chain over the pairs that don't."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for runs, values in _sorted_runs(batches, ("l", "k"), cap):
             found, large = _pairs(runs, values, cap)
+            found = _forest(found)
             u, v = np.concatenate([found[:, 0], large]), np.concatenate([found[:, 1], large])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
