@@ -42,11 +42,13 @@ def merge_person(skel: DataFrame, *tables: DataFrame, check: bool = True) -> Dat
 
 def merge_household(df: DataFrame, family: DataFrame, check: bool = True) -> DataFrame:
     """Left join of one row per household. Persons without a household key match nothing and would all
-    meet in one task, so they go past the join."""
+    meet in one task, so each joins by a key of their own."""
     family = family.select(HOUSEHOLD_KEY, *(c for c in family.columns if c not in df.columns)).filter(F.col(HOUSEHOLD_KEY).isNotNull())
     family = require_unique(family, HOUSEHOLD_KEY) if check else family
-    joined = df.filter(F.col(HOUSEHOLD_KEY).isNotNull()).join(family, HOUSEHOLD_KEY, "left")
-    return joined.unionByName(df.filter(F.col(HOUSEHOLD_KEY).isNull()), allowMissingColumns=True)
+    own = F.concat(F.lit("\0"), F.col(PERSON_KEY).cast("string"))
+    left = df.withColumn("_household", F.coalesce(F.col(HOUSEHOLD_KEY).cast("string"), own))
+    right = family.withColumn("_household", F.col(HOUSEHOLD_KEY).cast("string")).drop(HOUSEHOLD_KEY)
+    return left.join(right, "_household", "left").drop("_household")
 
 
 def analysis_sample(df: DataFrame, weight: str = WEIGHT) -> DataFrame:

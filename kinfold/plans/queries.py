@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.coded import children_text, flags_to_list, null_missing, numeric_fact
 from ..operators import dialogs, merge, sampling, scores, steps
 from ..schema import GROUPS, MISSING_CODES, STEPS
+from ..sources.staging import staged
 from . import fixtures, workloads as w
 from .fixtures import view
 
@@ -25,7 +26,7 @@ def queries() -> dict[str, Query]:
         "person_wide": w.person_wide,
         "analysis_sample": w.analysis,
         "age_filtered": w.aged,
-        "draw_probability": lambda s, d: sampling.with_probability(w.aged(s, d)).select("id", F.round("p", 12).alias("p")),
+        "draw_probability": lambda s, d: sampling.with_probability(staged(w.aged(s, d), "aged")).select("id", F.round("p", 12).alias("p")),
         "weighted_sample": w.sample,
         "missing_codes_nulled": lambda s, d: null_missing(view(s, d, "s_demo").join(view(s, d, "s_work"), "id", "left"), missing),
         "decoded_categories": w.decoded,
@@ -37,7 +38,7 @@ def queries() -> dict[str, Query]:
         "step_inputs": lambda s, d: steps.step_inputs(w.facts(s, d), "personality").select("sample_pick_order", "id", "payload"),
         "persona_chain": lambda s, d: w.personas(s, d)[0],
         "persona_errors": lambda s, d: w.personas(s, d)[1],
-        "missing_personas": lambda s, d: steps.missing_ids(w.facts(s, d), w.personas(s, d)[0]),
+        "missing_personas": w.missing_personas,
         "sliced_users": lambda s, d: steps.slice_users(w.sample(s, d), 100, 50).select("sample_pick_order", "id"),
         "dialog_rounds": w.dialog_rounds,
         "transcripts": lambda s, d: dialogs.transcripts(view(s, d, "turns")),
@@ -78,7 +79,7 @@ def _ctes() -> dict[str, str]:
       LEFT JOIN s_work USING (id) LEFT JOIN s_family USING (household_id)"""
     ctes["analysis"] = "SELECT * FROM wide WHERE crosssection = 1 AND died = 0 AND indv_weight_ad2 > 0 AND proxy_2 IS DISTINCT FROM 1 AND proxy_5 IS DISTINCT FROM 1"
     ctes["aged"] = "SELECT * FROM analysis WHERE xrage >= 45"
-    ctes["keyed"] = f"""SELECT id, CAST(round(indv_weight_ad2 * {sampling.SCALE}) AS BIGINT) AS wi, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) % {sampling.BUCKETS} AS b FROM aged"""
+    ctes["keyed"] = f"""SELECT id, CAST(round(indv_weight_ad2 * {sampling.SCALE}) AS BIGINT) AS wi, CAST('0x' || substr(md5(id), 1, 8) AS BIGINT) AS b FROM aged"""
     ctes["cum"] = "SELECT id, wi, sum(wi) OVER (ORDER BY b, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM keyed"
     ctes["draws"] = f"""SELECT k, (CAST(CAST('0x' || substr(md5('{sampling.SEED}:' || k), 1, 13) AS BIGINT) AS HUGEINT) * (SELECT sum(wi) FROM keyed)) // {1 << 52} AS t
       FROM (SELECT unnest(range(1, {sampling.DRAWS + 1})) AS k)"""

@@ -68,8 +68,15 @@ def stand_in(step: str):
     return generate
 
 
-def personas(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return steps.run_steps(steps.unique_ids(facts(spark, sf_dir)), {s: stand_in(s) for s in STEPS}, staged)
+def personas(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    known = facts(spark, sf_dir) if known is None else known
+    return steps.run_steps(steps.unique_ids(known), {s: stand_in(s) for s in STEPS}, staged)
+
+
+def missing_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts are read twice, so they are written first."""
+    known = staged(facts(spark, sf_dir), "facts")
+    return steps.missing_ids(known, personas(spark, sf_dir, known)[0])
 
 
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
