@@ -198,4 +198,4 @@ def keep_first(docs: DataFrame) -> DataFrame:
     key = unused(docs.columns, "_kept")
     kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     named = docs.withColumn(key, F.col("doc_id").cast("long"))
-    return named.filter(F.col(key).isNull()).unionByName(named.join(kept, key, "left_semi").select(*named.columns)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return named.filter(F.col(key).isNull()).unionByName(named.join(kept, key, "left_semi")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -49,3 +49,18 @@ def test_filters_keep_rows_whole(spark):
     assert key(linededup.without_common_lines(docs)) == key(docs)
     assert key(simhash.keep_first(docs)) == key(docs)
     assert key(decontam.keep_clean(docs, spark.createDataFrame([(1, "nothing like it at all anywhere")], "item_id long, text string"))) == key(docs)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = tables(spark, tmp_path) + [(200, "alpha beta gamma " * 7000, "en", "s0"), (None, "a text without an id", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit(""))).alias(c) for c in ("_key", "_kept", "key", "fp", "a.b")))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        assert step(spark, docs.limit(0), str(tmp_path)).collect() == []
+        got = step(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        before = {r["doc_id"]: r for r in docs.collect()}
+        for r in got.collect():
+            assert all(r[c] == before[r["doc_id"]][c] for c in ("_key", "_kept", "key", "fp", "a.b", "source"))
+        assert {200, None} <= {r["doc_id"] for r in got.collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
