@@ -179,3 +179,17 @@ def test_round_trips(spark, tmp_path):
     assert {r["id"]: r["w"] for r in readers.read_survey(spark, f"{tmp_path}/s", "Weights", survey.schema).collect()} == {"007": None, "08": 1.0}
     writers.write_csv(fixtures.catalog(spark), f"{tmp_path}/c")
     assert readers.read_catalog(spark, f"{tmp_path}/c").count() == len(fixtures.CATALOG)
+
+
+def test_ordered_csv_groups_and_score_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f'x "{i}", ü\ny') for i in (5, 3, 9, 1, 7)], "k int, t string")
+    writers.write_csv(rows, f"{tmp_path}/ordered", "k")
+    parts = sorted((tmp_path / "ordered").glob("part-*.csv"))
+    read = [r["k"] for p in parts for r in readers.read_sample(spark, str(p), rows.schema).collect()]
+    assert read == [1, 3, 5, 7, 9]
+    writers.write_csv(spark.createDataFrame([("health", "c1", 1), ("work", "days", 1)], "`group` string, field string, position int"), f"{tmp_path}/groups")
+    assert sorted(r["field"] for r in readers.read_groups(spark, f"{tmp_path}/groups").collect()) == ["c1", "days"]
+    scored = spark.createDataFrame([("p", "r", "d", 1.5), ("p", "r", "e", None)], "profile string, run_id string, dimension string, score double")
+    for form, back in (("csv", lambda p: readers.read_sample(spark, p, scored.schema)), ("parquet", spark.read.parquet)):
+        writers.write_scores(scored, f"{tmp_path}/scores-{form}", form)
+        assert sorted(map(str, back(f"{tmp_path}/scores-{form}").collect())) == sorted(map(str, scored.collect()))
