@@ -10,7 +10,7 @@ from ..functions.coded import children_text, flags_to_list, null_missing, numeri
 from ..operators import dialogs, merge, sampling, scores, steps
 from ..schema import GROUPS, MISSING_CODES, STEPS
 from ..sources.staging import staged
-from . import fixtures, workloads as w
+from . import files, fixtures, workloads as w
 from .fixtures import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,14 @@ def queries() -> dict[str, Query]:
         "combined_scores": w.combined,
         "mean_scores": lambda s, d: scores.mean_scores(w.score_table(s, d)),
         "score_summary": lambda s, d: scores.score_summary(w.score_table(s, d), DIMENSIONS),
+        "selected_wide": files.selected_wide,
+        "catalog_facts": files.catalog_facts,
+        "unknown_codes": files.unknown,
+        "sample_file": files.sample_file,
+        "facts_file": files.facts_file,
+        "persona_file": files.persona_file,
+        "scores_file": files.scores_file,
+        "scores_file_without_manual": lambda s, d: scores.mean_scores(files.scores_file(s, d, include_manual=False)),
     }
 
 
@@ -106,6 +114,11 @@ def _ctes() -> dict[str, str]:
       WINDOW r AS (PARTITION BY profile, run_id ORDER BY turn)"""
     ctes["paired"] = """SELECT profile, run_id, CAST(row_number() OVER (PARTITION BY profile, run_id ORDER BY turn) AS INT) AS round_no, text AS user_text,
       CASE WHEN next_role = 'assistant' THEN next_text END AS reply_text FROM numbered WHERE role = 'user'"""
+    ctes["selected"] = """SELECT id, household_id, crosssection, died, nullif(indv_weight_ad2, 0) AS indv_weight_ad2, xrage, sex, residence, edu, marriage,
+      proxy_2, proxy_5, satisfaction, days, retired FROM wide"""
+    ctes["filed"] = """SELECT CASE WHEN CAST(run_id AS BIGINT) % 7 = 0 THEN 'manual' ELSE profile END AS profile, run_id,
+      CASE WHEN CAST(run_id AS BIGINT) % 7 <> 0 THEN value END AS value, TRY_CAST(props->>'k' AS DOUBLE) AS k FROM event_results"""
+    ctes["filed_scores"] = "SELECT profile, run_id, 'value' AS dimension, value AS score FROM filed UNION ALL SELECT profile, run_id, 'k', k FROM filed"
     ctes["joined"] = "SELECT user_scores.*, quality, toxic FROM user_scores LEFT JOIN eval_scores USING (profile, run_id)"
     ctes["scores"] = "SELECT profile, run_id, 'value' AS dimension, value AS score FROM event_results UNION ALL SELECT profile, run_id, 'k', TRY_CAST(props->>'k' AS DOUBLE) FROM event_results" + "".join(
         f" UNION ALL SELECT profile, run_id, '{x}', {x} FROM joined" for x in ("length", "quality", "toxic")
@@ -113,6 +126,25 @@ def _ctes() -> dict[str, str]:
     return ctes
 
 
+def _catalog_label(field: str) -> str:
+    pairs = [(code, label) for f, code, label in files.dictionary_rows() if f == field]
+    return f"'{field}：' || " + ("CASE " + field + " " + " ".join(f"WHEN {c} THEN '{t}'" for c, t in pairs) + " END" if pairs else field)
+
+
+def _catalog_facts() -> str:
+    groups: dict[str, list[str]] = {}
+    for group, field, _ in files.FACT_GROUPS:
+        groups.setdefault(group, []).append(_catalog_label(field))
+    texts = ", ".join(f"nullif(concat_ws('；', {', '.join(facts)}), '') AS {g}" for g, facts in groups.items())
+    coded = ", ".join(_nulled(f) for f in ("id", *_DEMO, "satisfaction", "days", "retired"))
+    return f"SELECT id, {texts} FROM (SELECT {coded} FROM selected WHERE indv_weight_ad2 > 0 AND proxy_2 IS DISTINCT FROM 1 AND proxy_5 IS DISTINCT FROM 1)"
+
+
+def _unknown() -> str:
+    known = {f: ", ".join(str(code) for g, code, _ in files.dictionary_rows() if g == f) for f in files.DECODED}
+    return "SELECT " + ", ".join(f"count(CASE WHEN {f} NOT IN ({codes}) THEN 1 END) AS {f}" for f, codes in known.items()) + f" FROM (SELECT {', '.join(map(_nulled, files.DECODED))} FROM selected)"
+
+
 def oracle_sql() -> dict[str, str]:
     steps_ = ", ".join(STEPS)
     final = {
@@ -142,6 +174,14 @@ def oracle_sql() -> dict[str, str]:
         "combined_scores": "SELECT * FROM joined",
         "mean_scores": "SELECT profile, dimension, round(avg(score), 6) AS mean_score, count(score) AS n, count(*) - count(score) AS n_missing FROM scores GROUP BY profile, dimension",
         "score_summary": "SELECT profile, " + ", ".join(f"round(avg(CASE WHEN dimension = '{x}' THEN score END), 6) AS {x}" for x in DIMENSIONS) + " FROM scores GROUP BY profile",
+        "selected_wide": "SELECT * FROM selected",
+        "catalog_facts": _catalog_facts(),
+        "unknown_codes": _unknown(),
+        "sample_file": "SELECT * FROM sample",
+        "facts_file": f"SELECT sample_pick_order, id, {', '.join(GROUPS)} FROM facts",
+        "persona_file": f"SELECT id, {steps_} FROM ok_{list(STEPS)[-1]}",
+        "scores_file": "SELECT * FROM filed_scores",
+        "scores_file_without_manual": "SELECT profile, dimension, round(avg(score), 6) AS mean_score, count(score) AS n, count(*) - count(score) AS n_missing FROM filed_scores WHERE profile <> 'manual' GROUP BY profile, dimension",
     }
     ctes = ",\n".join(f"{name} AS ({body})" for name, body in _ctes().items())
     return {name: f"WITH {ctes}\n{body}" for name, body in final.items()}

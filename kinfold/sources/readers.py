@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.coded import clean_nan
-from ..schema import CATALOG, FACTS, GROUP_CATALOG, HOUSEHOLD_KEY, PERSON_KEY
+from ..schema import CATALOG, DICTIONARY, FACTS, GROUP_CATALOG, HOUSEHOLD_KEY, PERSON_KEY
 
 _CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
 
@@ -27,6 +27,11 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GROUP_CATALOG).options(**_CSV).csv(path)
 
 
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """field, code, label."""
+    return spark.read.schema(DICTIONARY).options(**_CSV).csv(path)
+
+
 def read_sample(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).options(**_CSV).csv(path)
 

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders written by ``staged`` and not deleted yet.
+#: Folders handed out by ``stage_folder`` and not deleted yet.
 _open: set[str] = set()
 
 
@@ -40,12 +40,18 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, old)
 
 
+def stage_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``drop_stages`` deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _open.add(path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that what follows neither computes
     it again nor depends on its executors. ``unstage`` or ``drop_stages`` deletes the files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _open.add(path)
+    path = stage_folder(spark, label)
     with shuffles_freed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
