@@ -5,10 +5,11 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinfold.llm import decontam, langid, linededup, simhash
+from kinfold.llm import decontam, langid, linededup, similar
 from kinfold.llm.common import stage
 
-from .test_brute_force import plain_fingerprint, plain_lines
+from .test_brute_force import plain_lines
+from .test_similar import plain_groups
 
 
 def tables(spark, tmp_path):
@@ -34,8 +35,7 @@ def test_stages(spark, tmp_path):
     one, two, three, four = kept
     assert one == {d: t for d, t, *_ in rows if d not in (102, 103)}
     assert two == {d: "\n".join(x) for d, x in plain_lines(list(one.items()), 10).items()} and not any("Shared" in t for t in two.values())
-    prints = {d: plain_fingerprint(t) for d, t in two.items()}
-    assert set(three) == {d for d in two if not any(e < d and (prints[e] ^ prints[d]).bit_count() <= 4 for e in two)} and 100 not in three
+    assert set(three) == set(plain_groups(list(two.items())).values()) and not {100, 104} & set(three)
     assert set(four) == set(three) - {101}
     final = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) <= set(four) and all(x["taken"] == x["size"] * x["copies"] > 0 for x in final.values())
@@ -47,7 +47,7 @@ def test_filters_keep_rows_whole(spark):
     key = lambda df: sorted(map(str, df.collect()))
     assert key(langid.keep_identified(docs)) == key(docs.filter("text is not null"))
     assert key(linededup.without_common_lines(docs)) == key(docs)
-    assert key(simhash.keep_first(docs)) == key(docs)
+    assert key(similar.keep_first(docs)) == key(docs)
     assert key(decontam.keep_clean(docs, spark.createDataFrame([(1, "nothing like it at all anywhere")], "item_id long, text string"))) == key(docs)
 
 
