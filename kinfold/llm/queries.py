@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, linededup, mixing, pii, quality, simhash, substring, suffix, toxicity
+from . import decontam, hardneg, langid, linededup, mixing, nearest, pii, prefixtrie, quality, simhash, substring, suffix, toxicity
 from .common import documents
 
 
@@ -26,6 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": _over_documents(suffix.query),
         "op9_toxicity": lambda spark, sf_dir: toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op10_language_id": _over_documents(langid.query),
+        "op11_hard_negatives": lambda spark, sf_dir: hardneg.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op12_prefix_trie": lambda spark, sf_dir: prefixtrie.query(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+        "op13_nearest_neighbours": lambda spark, sf_dir: nearest.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
     }
 
 
@@ -36,4 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring.SQL,
         "op7_line_dedup": linededup.SQL,
         "op8_suffix_dedup": suffix.SQL,
+        "op11_hard_negatives": hardneg.SQL,
+        "op12_prefix_trie": prefixtrie.SQL,
     }
