@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.staging import drop_stages, shared_dir, shuffles_freed, staged as stage, unstage  # noqa: F401
+from ..sources.staging import shared_dir, shuffles_freed, staged as stage, unstage  # noqa: F401
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = " \t\n\x0b\x0c\r"
