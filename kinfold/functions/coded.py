@@ -31,15 +31,22 @@ def decode(df: DataFrame, dictionary: dict[str, dict[int, str]], suffix: str = "
     return df.select("*", *(label_of(f, labels).alias(f"{f}{suffix}") for f, labels in dictionary.items() if f in df.columns))
 
 
-def decode_long(df: DataFrame, key: str, dictionary: DataFrame, fields: list[str]) -> DataFrame:
-    """key, field, code, label: the same over rows instead of columns, by a join with the dictionary
-    table. It multiplies rows by fields; for cross-checks and dictionaries too large to compile."""
-    return df.unpivot(key, fields, "field", "code").join(dictionary, ["field", "code"], "left").select(key, "field", "code", "label")
+def unknown_counts(missing: dict[str, list[int]], dictionary: dict[str, dict[int, str]], columns: list[str]) -> list[Column]:
+    """For each decoded field how many answers, reserved codes aside, the dictionary lacks: to be aggregated or
+    observed while the rows are written."""
+    known = {f: labels for f, labels in dictionary.items() if f in columns}
+    answered = {f: F.col(f).isNotNull() & (~F.col(f).isin(*missing[f]) if missing.get(f) else F.lit(True)) for f in known}
+    return [F.count_if(answered[f] & label_of(f, labels).isNull()).alias(f) for f, labels in known.items()]
 
 
-def unknown_codes(df: DataFrame, dictionary: dict[str, dict[int, str]]) -> DataFrame:
-    """One row: for each field how many codes the dictionary lacks."""
-    return df.agg(*(F.count_if(F.col(f).isNotNull() & label_of(f, labels).isNull()).alias(f) for f, labels in dictionary.items() if f in df.columns))
+def repeated_groups(slots: list[dict[str, str]], number: str, n: int | None = None) -> Column:
+    """Repeated column groups (child 1's columns, child 2's, ...) as an array of structs: ``number``, the slot's from 1
+    on, and the parts that a slot names its columns by. Slots all of whose columns are missing are left out, and
+    the first ``n`` others kept, without a shuffle."""
+    each = [F.struct(F.lit(i).alias(number), *(F.col(c).alias(part) for part, c in slot.items())) for i, slot in enumerate(slots, 1)]
+    parts = list(dict.fromkeys(part for slot in slots for part in slot))
+    answered = F.filter(F.array(*each), lambda x: F.coalesce(*(x[part].cast("string") for part in parts)).isNotNull())
+    return answered if n is None else F.slice(answered, 1, n)
 
 
 def flags_to_list(flags: dict[str, str], none_text: str, yes: int = 1, separator: str = "、") -> Column:
@@ -55,13 +62,6 @@ def numeric_fact(field: str, template: str) -> Column:
     return F.when(F.col(field).isNotNull(), F.concat(F.lit(before), F.col(field).cast("string"), F.lit(after)))
 
 
-def children_text(children: str, contact: dict[int, str], separator: str = "；") -> Column:
-    """Phrases of an array of (child_no, contact); null where there is no child."""
-    known = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in contact.items()))
-    each = F.transform(children, lambda c: F.concat(F.lit("子女"), c["child_no"].cast("string"), F.coalesce(F.concat(F.lit("，联系"), F.try_element_at(known, c["contact"])), F.lit(""))))
-    return F.when(F.size(children) > 0, F.array_join(each, separator))
-
-
 def labelled(title: str, value: Column) -> Column:
     return F.concat(F.lit(f"{title}："), value)
 

@@ -34,3 +34,12 @@ def run_status(paired: DataFrame, n: int) -> DataFrame:
     """profile, run_id, n_rounds, n_answered, complete: whether a run has ``n`` answered rounds."""
     out = paired.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_rounds"), F.count("reply_text").alias("n_answered"))
     return out.withColumn("complete", F.col("n_answered") >= n)
+
+
+def requested_status(paired: DataFrame, requested: DataFrame) -> DataFrame:
+    """profile, run_id, rounds, n_rounds, n_answered, state of every run that was asked for (profile, run_id, rounds) or that
+    left turns: complete, incomplete, unanswered (no round was answered), not run (no user message), not requested."""
+    seen = paired.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n_rounds"), F.count("reply_text").alias("n_answered"))
+    out = requested.select(*RUN, "rounds").join(seen, RUN, "full_outer").fillna(0, ["n_rounds", "n_answered"])
+    state = F.when(F.col("rounds").isNull(), "not requested").when(F.col("n_rounds") == 0, "not run").when(F.col("n_answered") == 0, "unanswered")
+    return out.withColumn("state", state.when(F.col("n_answered") >= F.col("rounds"), "complete").otherwise("incomplete"))

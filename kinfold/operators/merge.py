@@ -22,29 +22,20 @@ def skeleton(df: DataFrame) -> DataFrame:
     return df.filter((F.col("crosssection") == 1) & (F.col("died") == 0))
 
 
-def require_unique(df: DataFrame, key: str) -> DataFrame:
-    """Fails where a key repeats, which would multiply the persons it is joined to; null keys never match."""
-    repeated = df.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").limit(3).collect()
-    if repeated:
-        raise ValueError(f"{key} repeats: {[r[key] for r in repeated]}")
-    return df
-
-
-def merge_person(skel: DataFrame, *tables: DataFrame, check: bool = True) -> DataFrame:
-    """Left joins on the person key. One key throughout, so the skeleton is shuffled once. Columns that a
-    right side shares with what is joined so far (but the key) are left out."""
+def merge_person(skel: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Left joins on the person key. One key throughout, so the skeleton is shuffled once, and not at all where
+    the tables are bucketed by it. Columns that a right side shares with what is joined so far (but the key) are
+    left out. A right side that repeats a key multiplies persons: ``guards.guarded`` tells."""
     out = skel
     for t in tables:
-        t = t.select(PERSON_KEY, *(c for c in t.columns if c not in out.columns))
-        out = out.join(require_unique(t, PERSON_KEY) if check else t, PERSON_KEY, "left")
+        out = out.join(t.select(PERSON_KEY, *(c for c in t.columns if c not in out.columns)), PERSON_KEY, "left")
     return out
 
 
-def merge_household(df: DataFrame, family: DataFrame, check: bool = True) -> DataFrame:
+def merge_household(df: DataFrame, family: DataFrame) -> DataFrame:
     """Left join of one row per household. Persons without a household key match nothing and would all
     meet in one task, so each joins by a key of their own."""
     family = family.select(HOUSEHOLD_KEY, *(c for c in family.columns if c not in df.columns)).filter(F.col(HOUSEHOLD_KEY).isNotNull())
-    family = require_unique(family, HOUSEHOLD_KEY) if check else family
     own = F.concat(F.lit("\0"), F.col(PERSON_KEY).cast("string"))
     left = df.withColumn("_household", F.coalesce(F.col(HOUSEHOLD_KEY).cast("string"), own))
     right = family.withColumn("_household", F.col(HOUSEHOLD_KEY).cast("string")).drop(HOUSEHOLD_KEY)

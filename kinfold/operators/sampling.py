@@ -16,6 +16,8 @@ from ..schema import PERSON_KEY, WEIGHT
 SEED = 20260602
 DRAWS = 500
 SCALE = 1_000_000
+#: Draws that are sent to every executor rather than having the persons' table shuffled: two values each.
+BROADCAST_DRAWS = 100_000
 #: Persons of a bucket, about.
 PER_BUCKET = 100_000
 
@@ -74,5 +76,7 @@ def _number_sql(seed: int) -> str:
 
 
 def weighted_sample(df: DataFrame, weight: str = WEIGHT, n: int = DRAWS, seed: int = SEED, buckets: int | None = None) -> DataFrame:
-    """``n`` rows of ``df`` drawn with replacement in proportion to the weight, numbered by sample_pick_order."""
-    return draw_keys(df, weight, n, seed, buckets).join(df, PERSON_KEY).select("sample_pick_order", *df.columns)
+    """``n`` rows of ``df`` drawn with replacement in proportion to the weight, numbered by sample_pick_order. Few draws
+    go to the persons; the wide table is shuffled for many only."""
+    draws = draw_keys(df, weight, n, seed, buckets)
+    return (F.broadcast(draws) if n <= BROADCAST_DRAWS else draws).join(df, PERSON_KEY).select("sample_pick_order", *df.columns)

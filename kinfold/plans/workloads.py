@@ -7,12 +7,13 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.coded import children_text, decode, flags_to_list, label_of, labelled, null_missing, numeric_fact
-from ..functions.coded import fact_text as group_texts
-from ..operators import dialogs, merge, sampling, scores, steps
-from ..schema import GROUPS, MISSING_CODES, STEPS
-from ..sources.staging import staged
-from . import fixtures
+from ..functions import catalogs
+from ..functions.coded import decode, null_missing
+from ..operators import dialogs, ledger as ledgers, merge, sampling, scores, steps
+from ..operators.guards import guarded
+from ..schema import MISSING_CODES, PERSON_KEY, STEPS
+from ..sources.staging import stage_folder, staged
+from . import fixtures, jobs
 from .fixtures import view
 
 #: Rounds that a dialogue is asked for in the examples.
@@ -20,9 +21,10 @@ ROUNDS = 3
 
 
 def person_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skel = merge.skeleton(view(spark, sf_dir, "s_sample"))
-    right = [view(spark, sf_dir, t) for t in ("s_weights", "s_demo", "s_health", "s_work")]
-    return merge.merge_household(merge.merge_person(skel, *right, check=False), view(spark, sf_dir, "s_family"), check=False)
+    """Written once, with its rows counted against the skeleton's on the way."""
+    skel, *right, family = (view(spark, sf_dir, t) for t in ("s_sample", "s_weights", "s_demo", "s_health", "s_work", "s_family"))
+    join = lambda df: merge.merge_household(merge.merge_person(df, *right), family)
+    return guarded(merge.skeleton(skel), join, lambda df: staged(df, "wide"), PERSON_KEY)[0]
 
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,28 +36,22 @@ def aged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The draw reads the persons several times, so they are written first."""
-    return sampling.weighted_sample(staged(aged(spark, sf_dir), "aged"))
+    """The draw reads the persons several times, from the wide table as it was written."""
+    return sampling.weighted_sample(aged(spark, sf_dir))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nine texts of every draw."""
-    rows = null_missing(sample(spark, sf_dir), fixtures.missing_by_field(MISSING_CODES))
+    """The nine texts of every draw, from the catalog tables; children from their long table."""
     children = merge.first_children(view(spark, sf_dir, "s_child"))
-    rows = rows.join(children, "household_id", "left")
-    label = lambda f: label_of(f, fixtures.DICTIONARY[f])
-    groups = {
-        "basic": [labelled("性别", label("sex")), numeric_fact("xrage", "年龄：{}岁"), labelled("居住地", label("residence"))],
-        "education": [labelled("学历", label("edu"))],
-        "marriage": [labelled("婚姻", label("marriage"))],
-        "emotion": [labelled("生活满意度", label("satisfaction"))],
-        "health": [labelled("慢性病", flags_to_list(fixtures.CHRONIC, "无"))],
-        "activity": [labelled("社会活动", flags_to_list(fixtures.ACTIVITIES, "无"))],
-        "internet": [labelled("上网", flags_to_list(fixtures.INTERNET, "无"))],
-        "children": [children_text("children", fixtures.CONTACT)],
-        "work": [labelled("退休", label("retired")), numeric_fact("days", "工作{}天")],
-    }
-    return rows.select("sample_pick_order", "id", *group_texts({g: groups[g] for g in GROUPS}))
+    return jobs.texts(sample(spark, sf_dir).join(children, "household_id", "left"), fixtures.catalogs(spark), ["sample_pick_order", "id"])
+
+
+def child_text(spark: SparkSession, children: DataFrame) -> DataFrame:
+    """household_id and the phrases of its children."""
+    catalog = fixtures.catalogs(spark)
+    fact = catalog["facts"].filter("`group` = 'children'")
+    groups = catalog["groups"].filter("`group` = 'children'")
+    return children.select("household_id", *catalogs.group_columns(groups, fact, catalog["flags"], catalogs.dictionary_labels(catalog["labels"]), children.columns))
 
 
 def stand_in(step: str):
@@ -68,9 +64,33 @@ def stand_in(step: str):
     return generate
 
 
+def raising(step: str):
+    """The stand-in, but a batch that holds a payload whose digest begins with f raises."""
+    plain = stand_in(step)
+
+    def generate(ids: pd.Series, payloads: pd.Series) -> pd.DataFrame:
+        made = plain(ids, payloads)
+        if made["text"].str.startswith("f").any():
+            raise ConnectionError("hung up")
+        return made
+
+    return generate
+
+
 def personas(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    known = facts(spark, sf_dir) if known is None else known
-    return steps.run_steps(steps.unique_ids(known), {s: stand_in(s) for s in STEPS}, staged)
+    """The facts of the persons are read once a step, so they are written first."""
+    once = staged(steps.unique_ids(facts(spark, sf_dir) if known is None else known), "persons")
+    return steps.run_steps(once, {s: stand_in(s) for s in STEPS}, ledgers.Ledger(spark, stage_folder(spark, "ledger")))
+
+
+def step_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """step, id, answered, attempts, error of every call after two runs with a generator that raises, two attempts a call."""
+    once = staged(steps.unique_ids(facts(spark, sf_dir)), "persons")
+    kept = ledgers.Ledger(spark, stage_folder(spark, "ledger"))
+    for _ in range(2):
+        steps.run_steps(once, {s: raising(s) for s in STEPS}, kept, attempts=2)
+    parts = [kept.outcomes(s).select(F.lit(s).alias("step"), "id", "answered", "attempts", "error") for s in STEPS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def missing_personas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +114,14 @@ def dialog_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogs.cap_rounds(dialogs.rounds(view(spark, sf_dir, "turns")), ROUNDS)
 
 
+DECODED = ("sex", "residence", "edu", "marriage")
+
+
+def coded_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = catalogs.missing_codes(fixtures.catalogs(spark)["fields"], MISSING_CODES)
+    return null_missing(view(spark, sf_dir, "s_demo"), {f: c for (t, f), c in codes.items() if t == "s_demo"})
+
+
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = null_missing(view(spark, sf_dir, "s_demo"), fixtures.missing_by_field(MISSING_CODES))
-    return decode(rows, {f: fixtures.DICTIONARY[f] for f in ("sex", "residence", "edu", "marriage")})
+    labels = catalogs.dictionary_labels(fixtures.catalogs(spark)["labels"])
+    return decode(coded_demo(spark, sf_dir), {f: labels[f] for f in DECODED})

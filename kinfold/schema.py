@@ -7,18 +7,8 @@ from pyspark.sql import types as T
 PERSON_KEY, HOUSEHOLD_KEY = "id", "household_id"
 WEIGHT = "indv_weight_ad2"
 
-# The nine groups of fact text, in their order, with the titles they are written under.
-GROUPS = {
-    "basic": "基础信息",
-    "education": "教育信息",
-    "marriage": "婚姻信息",
-    "emotion": "情绪信息",
-    "health": "健康信息",
-    "activity": "活动信息",
-    "internet": "上网信息",
-    "children": "子女信息",
-    "work": "工作信息",
-}
+# The nine groups of fact text, in their order.
+GROUPS = ["basic", "education", "marriage", "emotion", "health", "activity", "internet", "children", "work"]
 
 # Codes that stand for a missing answer in categorical fields, where the catalog has no own list.
 MISSING_CODES = [97, 98, 99, 997, 998, 999]
@@ -31,8 +21,17 @@ STEPS = {
     "anchors": ([], ["personality", "experience", "worries"]),
 }
 
-CATALOG = T.StructType([T.StructField("table", T.StringType()), T.StructField("field", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("missing_codes", T.StringType())])
-GROUP_CATALOG = T.StructType([T.StructField("group", T.StringType()), T.StructField("field", T.StringType()), T.StructField("position", T.IntegerType())])
-DICTIONARY = T.StructType([T.StructField("field", T.StringType()), T.StructField("code", T.IntegerType()), T.StructField("label", T.StringType())])
+
+def _schema(text: str) -> T.StructType:
+    kinds = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split() for x in text.split(", "))])
+
+
+CATALOG = _schema("table string, field string, kind string, missing_codes string")
+DICTIONARY = _schema("field string, code int, label string")
+GROUP_CATALOG = _schema("group string, position int, title string")
+FACT_CATALOG = _schema("group string, position int, kind string, field string, title string, template string")
+FLAG_CATALOG = _schema("list string, position int, field string, name string")
+SLOT_CATALOG = _schema("array string, position int, part string, field string")
 FACTS = T.StructType([T.StructField("sample_pick_order", T.IntegerType()), T.StructField(PERSON_KEY, T.StringType()), *(T.StructField(g, T.StringType()) for g in GROUPS)])
-SCORES = T.StructType([T.StructField("profile", T.StringType()), T.StructField("run_id", T.StringType()), T.StructField("dimension", T.StringType()), T.StructField("score", T.DoubleType())])
+SCORES = _schema("profile string, run_id string, dimension string, score double")

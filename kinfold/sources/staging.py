@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Folders handed out by ``stage_folder`` and not deleted yet.
-_open: set[str] = set()
+#: Folders handed out within the innermost ``stages`` block of this thread.
+_held: ContextVar[list[str] | None] = ContextVar("held", default=None)
+_lock, _writers = threading.Lock(), {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,26 +33,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Have Spark delete the shuffle files of each query that ends meanwhile, rather than when the driver
-    happens to collect its garbage."""
-    old = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """Have Spark delete the shuffle files of each query that ends meanwhile, rather than when the driver happens to
+    collect its garbage. Blocks of one session may overlap: the last to end puts the setting back."""
+    name = id(spark._jsparkSession)
+    with _lock:
+        count, old = _writers.get(name, (0, spark.conf.get(_CLEANUP, "false")))
+        _writers[name] = (count + 1, old)
+        spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, old)
+        with _lock:
+            count, old = _writers[name]
+            _writers[name] = (count - 1, old)
+            if count == 1:
+                del _writers[name]
+                spark.conf.set(_CLEANUP, old)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[list[str]]:
+    """Owns what is staged inside the block, by this thread, and deletes it at its end: results must have been written by then.
+    What other callers stage is theirs."""
+    held: list[str] = []
+    token = _held.set(held)
+    try:
+        yield held
+    finally:
+        _held.reset(token)
+        for folder in held:
+            _delete(spark, folder)
 
 
 def stage_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, which ``drop_stages`` deletes."""
+    """A new path in the shared folder. It belongs to the ``stages`` block around, or else to the caller."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _open.add(path)
+    if (held := _held.get()) is not None:
+        held.append(path)
     return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, so that what follows neither computes
-    it again nor depends on its executors. ``unstage`` or ``drop_stages`` deletes the files."""
+    it again nor depends on its executors. ``unstage`` deletes the files, and so does the end of a ``stages`` block."""
     spark = df.sparkSession
     path = stage_folder(spark, label)
     with shuffles_freed(spark):
@@ -60,7 +86,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _open.difference_update({x for x in _open if folder.endswith(x.rpartition("/")[2])})
 
 
 def unstage(*tables: DataFrame) -> None:
@@ -69,8 +94,3 @@ def unstage(*tables: DataFrame) -> None:
         for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
             _delete(df.sparkSession, folder)
 
-
-def drop_stages(spark: SparkSession) -> None:
-    """Delete what is still staged: to be called when the results that read it have been written."""
-    for folder in list(_open):
-        _delete(spark, folder)

@@ -28,3 +28,9 @@ def write_results(df: DataFrame, root: str) -> None:
 
 def write_scores(df: DataFrame, path: str, form: str = "csv") -> None:
     write_csv(df, path) if form == "csv" else write_stage(df, path)
+
+
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """A table of the session's catalog, bucketed and sorted by ``key``. Tables with the same key and number of buckets
+    are joined on it without an exchange; anything else joins them as it would other tables. One file a bucket."""
+    df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -4,11 +4,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.functions import coded
-from kinfold.operators import dialogs, merge, sampling, scores, steps
-from kinfold.plans import fixtures
+from kinfold.functions import catalogs, coded
+from kinfold.operators import decoding, dialogs, merge, sampling, scores, steps
+from kinfold.operators.guards import guarded
+from kinfold.operators.ledger import Ledger
+from kinfold.plans import fixtures, jobs
 from kinfold.schema import GROUPS, STEPS
 from kinfold.sources import readers, writers
+from kinfold.sources.staging import stage_folder, staged
 
 
 def people(spark):
@@ -37,10 +40,21 @@ def test_joins_keep_every_person_once(spark):
     got = {r["id"]: (r["sex"], r["house"]) for r in wide.collect()}
     assert len(got) == wide.count() == skel.count()
     assert got["01"] == (1, 7) and got["03"] == (None, None) and got["06"] == (None, 9)
-    with pytest.raises(ValueError):
-        merge.merge_person(skel, demo.union(demo))
-    with pytest.raises(ValueError):
-        merge.merge_household(skel, family.union(family))
+
+
+def test_a_right_side_that_repeats_a_key_fails_the_write(spark):
+    skel = merge.skeleton(people(spark)).select("id", "household_id")
+    demo = spark.createDataFrame([("01", 1), ("02", 2)], "id string, sex int")
+    family = spark.createDataFrame([("h1", 7), ("h3", 9)], "household_id string, house int")
+    join = lambda d, f: lambda df: merge.merge_household(merge.merge_person(df, d), f)
+    unknown = coded.unknown_counts({"sex": [2]}, {"sex": {9: "x"}}, ["sex"])
+    wide, seen = guarded(skel, join(demo, family), lambda df: staged(df, "wide"), "id", unknown)
+    assert wide.count() == 7 and seen == {"rows": 7, "sex": 1}
+    with pytest.raises(ValueError, match="01"):
+        guarded(skel, join(demo.union(demo), family), lambda df: staged(df, "wide"), "id")
+    with pytest.raises(ValueError, match="0[167]"):
+        guarded(skel, join(demo, family.union(family)), lambda df: staged(df, "wide"), "id")
+    assert guarded(skel.limit(0), join(demo, family), lambda df: staged(df, "wide"), "id")[1]["rows"] == 0
 
 
 def test_catalog_selection(spark):
@@ -85,10 +99,15 @@ def test_coded_answers(spark):
     assert [tuple(r) for r in clean.select("sex", "days").collect()] == [(1, 97), (None, 3), (None, None), (55, 99)]
     labels = {"sex": {1: "男", 2: "女"}}
     assert [r["sex_label"] for r in coded.decode(clean, labels).collect()] == ["男", None, None, None]
-    assert coded.unknown_codes(clean, labels).first()["sex"] == 1
+    assert clean.agg(*coded.unknown_counts({}, labels, clean.columns)).first()["sex"] == 1
+    assert df.agg(*coded.unknown_counts({"sex": [98]}, labels, df.columns)).first()["sex"] == 1
     table = spark.createDataFrame([("sex", 1, "男"), ("sex", 2, "女")], "field string, code int, label string")
-    long = {r["id"]: r["label"] for r in coded.decode_long(clean, "id", table, ["sex"]).collect()}
-    assert long == {r["id"]: r["sex_label"] for r in coded.decode(clean, labels).collect()}
+    wide = {r["id"]: r["sex_label"] for r in coded.decode(clean, labels).collect()}
+    for rows in (0, 2, 10):  # by shuffles, and by broadcast
+        assert {r["id"]: r["label"] for r in decoding.decode_long(clean, "id", table, ["sex"], rows).collect()} == wide
+        assert {r["id"]: r["sex_label"] for r in decoding.decode_by_join(clean, "id", table, ["sex"], broadcast_rows=rows).collect()} == wide
+    plan = decoding.decode_long(clean, "id", table, ["sex"], 0)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in plan and "broadcast" not in plan
     flags = df.select(coded.flags_to_list({"c1": "甲", "c2": "乙"}, "无").alias("x"), coded.numeric_fact("days", "工作{}天").alias("y"))
     assert [tuple(r) for r in flags.collect()] == [("甲", "工作97天"), ("无", "工作3天"), (None, None), ("无", "工作99天")]
     text = df.select(*coded.fact_text({"g": [coded.labelled("性别", coded.label_of("sex", labels["sex"])), F.lit(None).cast("string")]}))
@@ -98,8 +117,21 @@ def test_coded_answers(spark):
 def test_children(spark):
     rows = [("h1", 2, 5), ("h1", 1, 1), ("h1", 3, 2), ("h2", 1, 77)]
     got = merge.first_children(spark.createDataFrame(rows, "household_id string, child_no int, contact int"))
-    texts = {r["household_id"]: r["t"] for r in got.select("household_id", coded.children_text("children", fixtures.CONTACT).alias("t")).collect()}
-    assert texts == {"h1": "子女1，联系几乎每天；子女2，联系每月一次", "h2": "子女1"}
+    said = catalogs.template(fixtures.CHILD, lambda name: F.col(f"c.{name}"), catalogs.dictionary_labels(fixtures.catalogs(spark)["labels"]))
+    each = got.select("household_id", F.posexplode("children").alias("i", "c")).select("household_id", "i", said.alias("t"))
+    assert sorted(map(tuple, each.collect())) == [("h1", 0, "子女1，联系几乎每天"), ("h1", 1, "子女2，联系每月一次"), ("h2", 0, "子女1")]
+
+
+def test_repeated_columns_equal_the_long_form(spark):
+    rows = [("h1", None, 3, 4, 5), ("h2", 1, None, None, None), ("h3", None, None, None, None), ("h4", 1, 2, 3, 4)]
+    wide = spark.createDataFrame(rows, "household_id string, a1 int, a2 int, a3 int, a4 int")
+    slots = [{"contact": f"a{i}"} for i in range(1, 5)]
+    made = wide.select("household_id", coded.repeated_groups(slots, "child_no", 2).alias("children"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["household_id"]: [(c["child_no"], c["contact"]) for c in r["children"]] for r in made.collect()}
+    long = wide.unpivot("household_id", ["a1", "a2", "a3", "a4"], "name", "contact").filter("contact IS NOT NULL")
+    long = merge.first_children(long.select("household_id", F.substring("name", 2, 1).cast("int").alias("child_no"), "contact"))
+    assert got == {"h3": []} | {r["household_id"]: [(c["child_no"], c["contact"]) for c in r["children"]] for r in long.collect()}
 
 
 def facts(spark, n=5):
@@ -112,7 +144,6 @@ def test_steps(spark):
     assert sorted((r["id"], r["sample_pick_order"], r["pick_count"]) for r in one.collect()) == [("p0", 3, 1), ("p1", 1, 2), ("p2", 2, 2)]
     first = steps.step_inputs(one, "personality").first()["payload"]
     assert "health" not in first and "children" not in first
-    calls = []
 
     def generator(step):
         def run(ids, payloads):
@@ -120,13 +151,8 @@ def test_steps(spark):
 
         return run
 
-    def stage(df, name):
-        calls.append(name)
-        return df.checkpoint()
-
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    done, errors = steps.run_steps(one, {s: generator(s) for s in STEPS}, stage)
-    assert calls == list(STEPS) and ids(done) == ["p0", "p2"] and done.columns == ["id", *STEPS]
+    done, errors = steps.run_steps(one, {s: generator(s) for s in STEPS}, Ledger(spark, stage_folder(spark, "ledger")))
+    assert ids(done) == ["p0", "p2"] and done.columns == ["id", *STEPS]
     assert [tuple(r) for r in errors.collect()] == [("p1", "worries", "no")]
     assert ids(steps.missing_ids(one, done)) == ["p1"]
     last = steps.step_inputs(one.select("*", *(F.lit("up").alias(s) for s in STEPS)), "anchors").first()["payload"]
@@ -159,7 +185,8 @@ def test_scores_and_results(spark, tmp_path):
     back = readers.read_results(spark, f"{tmp_path}/out", schema)
     assert {r["profile"] for r in back.collect()} == {"m"} and back.count() == 3
     assert readers.read_results(spark, f"{tmp_path}/out", schema, include_manual=True).count() == 4
-    assert readers.read_results(spark, f"{tmp_path}/out", schema, profile="profile=manual").count() == 1
+    assert readers.read_results(spark, f"{tmp_path}/out", schema, profile="manual").count() == 1
+    assert readers.read_results(spark, f"{tmp_path}/out", schema, profile="nobody").count() == 0
     long = scores.extract_scores(results, {"warm": "$.user.warm", "eval": "$.eval"})
     means = {(r["profile"], r["dimension"]): (r["mean_score"], r["n"], r["n_missing"]) for r in scores.mean_scores(long).collect()}
     assert means == {("m", "warm"): (4.0, 1, 2), ("m", "eval"): (3.0, 1, 2), ("manual", "warm"): (2.0, 1, 0), ("manual", "eval"): (None, 0, 1)}
@@ -177,7 +204,7 @@ def test_round_trips(spark, tmp_path):
     survey = spark.createDataFrame([("007", float("nan")), ("08", 1.0)], "id string, w double")
     writers.write_stage(survey, f"{tmp_path}/s/Weights.parquet")
     assert {r["id"]: r["w"] for r in readers.read_survey(spark, f"{tmp_path}/s", "Weights", survey.schema).collect()} == {"007": None, "08": 1.0}
-    writers.write_csv(fixtures.catalog(spark), f"{tmp_path}/c")
+    writers.write_csv(fixtures.catalogs(spark)["fields"], f"{tmp_path}/c")
     assert readers.read_catalog(spark, f"{tmp_path}/c").count() == len(fixtures.CATALOG)
 
 
@@ -187,8 +214,10 @@ def test_ordered_csv_groups_and_score_files(spark, tmp_path):
     parts = sorted((tmp_path / "ordered").glob("part-*.csv"))
     read = [r["k"] for p in parts for r in readers.read_sample(spark, str(p), rows.schema).collect()]
     assert read == [1, 3, 5, 7, 9]
-    writers.write_csv(spark.createDataFrame([("health", "c1", 1), ("work", "days", 1)], "`group` string, field string, position int"), f"{tmp_path}/groups")
-    assert sorted(r["field"] for r in readers.read_groups(spark, f"{tmp_path}/groups").collect()) == ["c1", "days"]
+    for name, df in fixtures.catalogs(spark).items():
+        writers.write_csv(df, f"{tmp_path}/{name}.csv")
+    for name, df in jobs.read_catalogs(spark, str(tmp_path)).items():
+        assert sorted(map(str, df.collect())) == sorted(str(r).replace("''", "None") for r in fixtures.catalogs(spark)[name].collect()), name
     scored = spark.createDataFrame([("p", "r", "d", 1.5), ("p", "r", "e", None)], "profile string, run_id string, dimension string, score double")
     for form, back in (("csv", lambda p: readers.read_sample(spark, p, scored.schema)), ("parquet", spark.read.parquet)):
         writers.write_scores(scored, f"{tmp_path}/scores-{form}", form)
