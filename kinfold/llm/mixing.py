@@ -7,7 +7,8 @@ documents with the smallest seeded hashes are taken.
 
 Null sources are a source of their own, last in order. Null texts have size 0. Rows with equal ids
 and texts have equal hashes; they are told apart by their order in the sort, so that the taken words
-stay right. Sizes are exact integers.
+stay right. Equal hashes within a length rank by the id. Sizes are exact integers, of whole texts whatever their length. An
+empty table gives no row. Columns other than doc_id, text and source, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ counts). Matches of a kind don't overlap; the leftmost wins; one that fails vali
 and not tried again shorter.
 
 Offsets are code points, ends are exclusive. A null or empty text has no span. Repeated rows each
-get their row. Texts are read whole; an anchor costs time in proportion to what it expands to.
+get their row, and an empty table gives none. Texts are read whole; an anchor costs time in proportion to what it
+expands to. Columns other than doc_id and text, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

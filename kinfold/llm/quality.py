@@ -5,8 +5,9 @@ failure bits; a policy is a mask of the rules that count, under a version. Keepi
 any policy, and the effect of leaving a rule out of a policy (ablation), are bit operations on the
 ledger, which is never computed again.
 
-A null or empty text has no words: all measurements are 0. Repeated rows each get their row.
-All of it is column expressions.
+A null or empty text has no words: all measurements are 0. Repeated rows each get their row, and an empty table
+gives none. Texts are measured whole, whatever their length; no measurement depends on an order, so there are no ties.
+Columns other than doc_id and text, whatever their names, are not looked at. All of it is column expressions.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ A logistic regression over the sums, counts and densest window gives the score.
 
 Lexicon and regression are learned from different parts of at most ``max_labelled`` labelled
 documents, those with the smallest hashes of their ids. Without both labels the score is 0 everywhere.
-Null and empty texts get the score of a text without hits. Repeated rows each get their row.
+Null and empty texts get the score of a text without hits. Repeated rows each get their row; an id with several
+labels counts as toxic if one is. Of several terms at one distance of a word the heaviest counts, then the last in code
+point order. Texts are read whole, whatever their length. An empty table gives no row. Columns other than doc_id,
+text and (for learning) toxic, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
