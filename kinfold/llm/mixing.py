@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stage, word_count
+from .common import stage, unused, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -94,10 +94,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CA
     return take
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every row of ``docs``."""
+def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every row of ``docs``, and the column ``row`` if one is named."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_hash"))
+    own = [F.col(row).alias("_row")] if row else []
+    base = docs.select("doc_id", F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_hash"), *own)
     base = stage(base, "mix-sizes")
     counts = base.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("_n"))
     sums = {r["_source"]: int(r["s"]) for r in counts.groupBy("_source").agg(F.sum(F.col("size") * F.col("_n")).alias("s")).limit(MAX_SOURCES + 1).collect()}
@@ -134,11 +135,22 @@ def mix(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, most: int = MOST
     out = None
     for part, taken in parts:
         part = part.withColumn("copies", F.col("_passes") + taken.cast("long"))
-        part = part.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+        part = part.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(F.col("_row").alias(row) for _ in own))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The documents that the mixture takes, with their columns as they are and what ``mix`` says of them (underlined where there
+    is a column of that name). Rows are numbered as they are written, so that rows with null or equal ids each get
+    their own number of copies; which of equal rows get more makes no difference."""
+    row, said = unused(docs.columns, "_row"), ["size", "source_size", "target", "taken", "copies"]
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "mix-documents")
+    taken = mix(rows, row=row).filter("copies > 0").select(F.col(row).alias("_taken_row"), *(F.col(c).alias(f"_mix_{c}") for c in said))
+    both = rows.join(taken, rows[f"`{row}`"] == taken["_taken_row"])
+    return both.select(*(rows[f"`{c}`"] for c in docs.columns), *(taken[f"_mix_{c}"].alias(unused(docs.columns, c)) for c in said))
+
+
 def query(docs: DataFrame) -> DataFrame:
     """op2: doc_id, size, source_size, target, taken, copies."""
     return mix(docs)

@@ -39,6 +39,7 @@ def test_stages(spark, tmp_path):
     assert set(four) == set(three) - {101}
     final = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) <= set(four) and all(x["taken"] == x["size"] * x["copies"] > 0 for x in final.values())
+    assert all((x["text"], x["lang"]) == (four[d], "en") for d, x in final.items())
 
 
 def test_filters_keep_rows_whole(spark):
@@ -63,4 +64,14 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
         for r in got.collect():
             assert all(r[c] == before[r["doc_id"]][c] for c in ("_key", "_kept", "key", "fp", "a.b", "source"))
         assert {200, None} <= {r["doc_id"] for r in got.collect()}
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+    last = corpus_pipeline.STAGES[-1][1]
+    clash = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit(""))).alias(c) for c in ("_row", "copies", "size", "_mix_size", "_taken_row", "_source")))
+    assert last(spark, clash.limit(0), str(tmp_path)).collect() == []
+    got = last(spark, clash.unionByName(clash), str(tmp_path))  # every row twice
+    assert got.columns[: len(clash.columns)] == clash.columns and {"copies_", "size_", "taken"} < set(got.columns)
+    mixed, targets = {}, {}
+    for r in got.collect():
+        assert r["copies"] == f"copies:{r['text'] or ''}" and r["taken"] == r["copies_"] * r["size_"] and r["size_"] == len((r["text"] or "").split())
+        mixed[r["source"]] = mixed.get(r["source"], 0) + r["taken"]
+        targets[r["source"]] = r["target"]
+    assert None in mixed and all(abs(mixed[s] - targets[s]) <= 40 for s in mixed)
