@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from threading import Thread
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..schema import PERSON_KEY
@@ -65,7 +65,7 @@ class Ledger:
         made.write.mode("append").options(**_PUBLISH_BY_TASK).parquet(self._folder(step))
 
 
-def call_key(payload: str, step: str, version: str = "") -> F.Column:
+def call_key(payload: str, step: str, version: str = "") -> Column:
     """Hash of what is asked of which step, by which version of its generator."""
     return F.sha2(F.concat_ws("\x1f", F.lit(version), F.lit(step), F.col(payload)), 256)
 
