@@ -125,7 +125,8 @@ def _outside(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray
 
 def search(tree: BlockTree, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, point: np.ndarray, k: int, bound: float, scale: float, quantile: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of a block's nearest ``k``. ``vectors`` stand in the order of the tree's rows. A score s is at
-    the squared distance 2 - 2 s ``scale``; ``bound`` is a squared distance within which k points are known to lie."""
+    the squared distance 2 - 2 s ``scale``; ``bound`` is a squared distance within which k points are known to lie (infinite
+    while none is known: the test then stops nothing, so where there are fewer than k points all are found)."""
     box = _outside(point, tree.low, tree.high)
     leaves = np.argsort(box, kind="stable")
     found, scores = np.empty(0, np.int64), np.empty(0)
@@ -253,11 +254,11 @@ def nearest(df: DataFrame, asked: Column, key: str = "vec_id", vector: str = "em
 
     known = {int(x): j for j, x in enumerate(names)}
     visits = "id long, v array<double>, p array<double>, bound double, part long, salt int"
-    first = queries.withColumn("bound", F.lit(4.0)).mapInPandas(lambda frames: route(frames, True), visits)
+    first = queries.withColumn("bound", F.lit(math.inf)).mapInPandas(lambda frames: route(frames, True), visits)
     first = stage(_meet(placed, first, searcher, hits), "home")
     kth = first.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") > k)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
-    reach = F.coalesce(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least") / (length * largest)), F.lit(4.0))
+    reach = F.coalesce(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least") / (length * largest)), F.lit(math.inf))
     other = queries.join(kth, queries["id"] == kth["query"], "left").withColumn("bound", reach).mapInPandas(lambda frames: route(frames, False), visits)
     found = first.unionByName(_meet(placed, stage(other, "visits"), searcher, hits))
 

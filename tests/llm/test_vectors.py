@@ -111,6 +111,15 @@ def test_neighbours_have_the_recall(spark, monkeypatch, n, dims, copies, points)
     assert hits / total >= 0.95
 
 
+def test_few_candidates_are_all_returned(spark, monkeypatch):
+    """However far they lie, and over several blocks."""
+    monkeypatch.setattr(nearest, "POINTS", (2, 4))
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (-1) ** i * rng.standard_normal(6) * 10.0 ** (i % 4)], 0) for i in range(0, 380, 20)]
+    got = nearest.query(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 19 * 18 and all(len({r["vec_id"] for r in got if r["query_id"] == q}) == 18 for q, *_ in rows)
+
+
 def test_neighbours_of_weird_rows(spark):
     rows = clustered(60, 4, 9)
     rows += [(None, [1.0] * 4, 1), (100, None, 1), (120, [1.0, None, 0.0, 0.0], 1), (140, [float("nan")] * 4, 1), (160, [float("inf")] * 4, 2), (180, [0.0] * 4, 3)]
