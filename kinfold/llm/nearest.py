@@ -258,7 +258,8 @@ def nearest(df: DataFrame, asked: Column, key: str = "vec_id", vector: str = "em
     first = stage(_meet(placed, first, searcher, hits), "home")
     kth = first.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") > k)
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
-    reach = F.coalesce(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least") / (length * largest)), F.lit(math.inf))
+    away = F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least") / (length * largest))
+    reach = F.when(F.col("least").isNotNull(), away).otherwise(math.inf)
     other = queries.join(kth, queries["id"] == kth["query"], "left").withColumn("bound", reach).mapInPandas(lambda frames: route(frames, False), visits)
     found = first.unionByName(_meet(placed, stage(other, "visits"), searcher, hits))
 
