@@ -5,9 +5,10 @@ item of more than 40 words is cut likewise, a shorter one is one passage. Docume
 once and written as the numbers of the benchmark's words (0 for all others), which is all that the later
 steps read. Benchmark passages fall into blocks of a few hundred, each with a latent space of its own:
 passages are TF-IDF vectors over the block's vocabulary, with document frequencies counted over all
-documents, and a distributed randomised SVD (a seeded Gaussian range finder with power steps, each step
-one Spark job over the rows of the matrix) of the block's passages and a bounded sample of document
-passages gives the space. Every passage of every document is compared with every benchmark passage by
+documents. A distributed randomised SVD gives the space. Its first step goes over every passage of every
+document: each is added, with a random sign, to one of ``SKETCH`` rows (a sparse random test matrix, so that the
+rows span what the passages do, and no passage is left out). A seeded Gaussian range finder with power steps, each step one
+Spark job, finishes it over those rows and the block's passages. Every passage of every document is compared with every benchmark passage by
 cosine there, in blocks of matrix products.
 
 The space holds only a share of a passage's length, so a fixed cosine gives no guarantee. Each
@@ -39,6 +40,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage, unused
@@ -51,8 +53,10 @@ SEED = 5
 BLOCK = 320
 #: Benchmark passages, and terms of the benchmark, that one scan takes, about.
 SCAN, MAX_TERMS = 4_000, 500_000
-#: Document passages that a latent space is fitted on, about; all are searched.
-MAX_FITTED = 500
+#: Rows that all document passages are added up to for a latent space, and the passages that they weigh as much as there, at most.
+SKETCH, FITTED_WEIGHT = 512, 1000
+#: Words that are added up at once, about.
+SLICE = 1 << 16
 #: Cosine from which a candidate is verified; less for benchmark passages of less than half a passage's words.
 MIN_COSINE = 0.2
 #: Shares of a benchmark passage that must be found, of its weight and in common subsequences: enough alone, and with the answer.
@@ -140,7 +144,7 @@ def _kind(n_terms: int) -> str:
 
 
 def document_frequencies(rows: DataFrame, n_terms: int) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each term, the number of documents with a word, and of all words."""
+    """Documents that hold each term, the number of documents with a word, and of all passages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(n_terms + 2, np.int64)
@@ -150,15 +154,15 @@ def document_frequencies(rows: DataFrame, n_terms: int) -> tuple[np.ndarray, int
                 some = np.unique(ids)
                 found[some] += 1
                 found[0] += len(some) > 0 and some[0] != 0  # else 0 is among them
-                found[-1] += len(ids)
+                found[-1] += max(-(-len(ids) // STRIDE) - 1, len(ids) > 0)
         some = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(found[some])], ["c", "n"])
 
     made = rows.select("ids").mapInArrow(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()  # a scan's terms at most
     out = np.zeros(n_terms + 2, np.int64)
     out[made.column("c").to_numpy()] = made.column("n").to_numpy()
-    n, total, out[0] = int(out[0]), int(out[-1]), 0
-    return out[:-1], n, total
+    n, passages, out[0] = int(out[0]), int(out[-1]), 0
+    return out[:-1], n, passages
 
 
 def randomised_svd(rows: DataFrame, columns: int, dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -177,14 +181,13 @@ def randomised_svd(rows: DataFrame, columns: int, dimensions: int = DIMENSIONS)
             q = sent.value
             total = np.zeros((width if gram else len(q), width))
             for batch in batches:
-                for cols, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    at = np.array(cols) - 1
-                    weights = np.array(weights)
-                    y = weights @ q[at]
-                    if gram:
-                        total += np.outer(y, y)
-                    else:
-                        total[at] += np.outer(weights, y)
+                for begin in range(0, batch.num_rows, 128):
+                    part = batch.slice(begin, 128)
+                    sizes = pc.list_value_length(part.column(0)).to_numpy(zero_copy_only=False)
+                    x = np.zeros((len(sizes), len(q)))
+                    x[np.repeat(np.arange(len(sizes)), sizes), part.column(0).flatten().to_numpy() - 1] = part.column(1).flatten().to_numpy()
+                    y = x @ q
+                    total += (y if gram else x).T @ y
             some = np.flatnonzero(total.any(1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], ["i", "v"])
 
@@ -206,18 +209,71 @@ def randomised_svd(rows: DataFrame, columns: int, dimensions: int = DIMENSIONS)
     return q @ vectors[:, order]
 
 
-def _tfidf_rows(row_of, weights, kind: str):
+def _sketch(rows: DataFrame, sent, kind: str) -> DataFrame:
+    """v: the unit vectors of all passages (lengths as in the search), each added with a random sign, by its document's id and
+    its place there, to one of ``SKETCH`` rows. ``sent``: the column of each term (from 1; 0: none), the weights of the
+    columns, squared weights of terms for lengths."""
+
+    def add_texts(total: np.ndarray, names: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> None:
+        row_of, weights, square = sent.value
+        chunks = -(-sizes // STRIDE)
+        first = np.cumsum(chunks) - chunks
+        ids = np.zeros(chunks.sum() * STRIDE, np.int64)
+        ids[np.arange(len(tokens)) + np.repeat(first * STRIDE - np.cumsum(sizes) + sizes, sizes)] = tokens
+        doc = np.repeat(np.arange(len(chunks)), chunks)
+        sums = np.add.reduce(square[ids].reshape(-1, STRIDE), axis=1, dtype=np.float64)
+        goes_on = np.append(doc[1:] == doc[:-1], False)  # a passage is this chunk and the next, or the only one
+        lengths = np.sqrt(np.maximum(sums + goes_on * np.append(sums[1:], 0), 1e-9))
+        scale = (goes_on | (chunks[doc] == 1)) / lengths
+        x = names[doc] + (np.arange(1, len(doc) + 1) - first[doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        scale[x >> np.uint64(63) == 1] *= -1
+        begin = (x % np.uint64(SKETCH)).astype(np.int64) * len(weights)
+        cols = row_of[ids]
+        known = np.flatnonzero(cols)
+        chunk, cols = known // STRIDE, cols[known] - 1
+        np.add.at(total, begin[chunk] + cols, scale[chunk] * weights[cols])
+        second = np.append(False, goes_on[:-1])[chunk]
+        chunk, cols = chunk[second] - 1, cols[second]
+        np.add.at(total, begin[chunk] + cols, scale[chunk] * weights[cols])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH * len(sent.value[1]))
+        for batch in batches:
+            names = np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in batch.column(0).to_pylist()], np.uint64)
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+            some = np.flatnonzero(sizes)
+            for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(sizes[some]) // SLICE)) + 1):
+                if len(part):
+                    add_texts(total, names[part], sizes[part], np.frombuffer(b"".join(batch.column(1).take(pa.array(part)).to_pylist()), kind))
+        total = total.reshape(SKETCH, -1).astype(np.float32)
+        some = np.flatnonzero(total.any(1))
+        for at in range(0, len(some), 64):
+            part = some[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([v.tobytes() for v in total[part]], pa.binary())], ["r", "v"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}  # a few rows of the sketch
+        for batch in batches:
+            for r, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = np.frombuffer(v.as_py(), np.float32)
+                sums[r] = sums[r] + v if r in sums else v.astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["v"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.mapInArrow(add, "r int, v binary").repartition(parts, "r").mapInArrow(merge, "v binary")
+
+
+def _fitted(scale: float):
+    """The rows of a sketch, scaled, as (cols from 1, weights)."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols, out = [], []
-            for data in batch.column(0):
-                for _, part in cut(row_of.value[np.frombuffer(data.as_py(), kind)]):
-                    some, counts = np.unique(part[part > 0], return_counts=True)
-                    if len(some):
-                        x = counts * weights.value[some]
-                        cols.append(some.tolist())
-                        out.append((x / (np.linalg.norm(x) or 1)).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(cols, pa.list_(pa.int32())), pa.array(out, pa.list_(pa.float64()))], ["cols", "weights"])
+            vectors = [np.frombuffer(v.as_py()) * scale for v in batch.column(0)]
+            cols = [np.flatnonzero(v).astype(np.int32) + np.int32(1) for v in vectors]
+            yield pa.RecordBatch.from_arrays([pa.array(cols, pa.list_(pa.int32())), pa.array([v[at - 1] for v, at in zip(vectors, cols, strict=True)], pa.list_(pa.float64()))], ["cols", "weights"])
 
     return rows
 
@@ -244,11 +300,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_CO
         mine = passages.filter(F.pmod(dealt, F.lit(parts)) == part) if parts > 1 else passages
         terms = {r["w"]: i for i, r in enumerate(mine.select(F.explode(F.concat("words", "answer")).alias("w")).distinct().orderBy("w").collect(), 1)}
         rows = stage(numbered(docs, spark.sparkContext.broadcast(terms), len(terms)), "numbered")
-        df, n, n_words = document_frequencies(rows, len(terms))
+        df, n, n_passages = document_frequencies(rows, len(terms))
         idf = np.log((n + 1) / (df + 1)) + 0.1
-        # About as many words as MAX_FITTED passages have, from the documents with the smallest hashes.
-        share = min(1.0, MAX_FITTED * PASSAGE / max(1, n_words))
-        sample = stage(rows.filter(F.xxhash64("doc_id", F.lit("fit")).bitwiseAND(F.lit(0xFFFFFFFF)) < int(share * (1 << 32))).select("ids"), "fit-sample")
         for b in range(scans):
             held = mine.filter(F.pmod(F.shiftright(dealt, 20), F.lit(scans)) == b).collect() if scans > 1 else mine.collect()
             held.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["part"], r["words"]))
@@ -256,25 +309,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = MIN_CO
             if not items:
                 continue
             size = -(-len(items) // -(-len(items) // BLOCK))
-            spaces = [_space(sample, items[at : at + size], idf) for at in range(0, len(items), size)]
+            spaces = [_space(rows, n_passages, items[at : at + size], idf) for at in range(0, len(items), size)]
             sent = spark.sparkContext.broadcast((items, idf, spaces, _postings(items, idf)))
             found = rows.mapInArrow(_search(sent, _kind(len(terms)), min_cosine), schema)
             out = found if out is None else out.unionByName(found)
     return out
 
 
-def _space(sample: DataFrame, items: list[Passage], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _square(idf: np.ndarray) -> np.ndarray:
+    """Squared weights of terms for lengths; words outside the benchmark weigh the most."""
+    square = (idf**2).astype(np.float32)
+    square[0] = square.max()
+    return square
+
+
+def _space(texts: DataFrame, n_passages: int, items: list[Passage], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The latent space of a block of benchmark passages: the row of each term of the scan (0: none), the
-    rows, weighted, and the passages' unit vectors (columns)."""
-    spark, kind = sample.sparkSession, _kind(len(idf) - 1)
+    rows, weighted, and the passages' unit vectors (columns). Fitted on those passages and all of the texts'."""
+    spark, kind = texts.sparkSession, _kind(len(idf) - 1)
     held = np.unique(np.concatenate([part for _, part, _ in items]).astype(np.int64))
     row_of = np.zeros(len(idf), np.int32)
     row_of[held] = np.arange(1, len(held) + 1)
     weights = np.concatenate([[0.0], idf[held]])
-    rows = sample.unionByName(spark.createDataFrame([(bytearray(np.array(part, kind).tobytes()),) for _, part, _ in items], sample.schema))
-    make = _tfidf_rows(spark.sparkContext.broadcast(row_of), spark.sparkContext.broadcast(weights), kind)
-    fitted = stage(rows.mapInArrow(make, "cols array<int>, weights array<double>").coalesce(16), "tfidf")  # a bounded sample
-    basis = randomised_svd(fitted, len(held))
+    sketch = stage(_sketch(texts, spark.sparkContext.broadcast((row_of, weights[1:], _square(idf))), kind), "sketch")
+    vectors = []
+    for _, part, _ in items:
+        some, counts = np.unique(row_of[part], return_counts=True)
+        x = counts * weights[some]
+        vectors.append((some.tolist(), (x / (np.linalg.norm(x) or 1)).tolist()))
+    scale = math.sqrt(min(1.0, FITTED_WEIGHT / max(1, n_passages)))
+    schema = "cols array<int>, weights array<double>"
+    fitted = sketch.mapInArrow(_fitted(scale), schema).unionByName(spark.createDataFrame(vectors, schema))
+    basis = randomised_svd(stage(fitted.coalesce(16), "tfidf"), len(held))  # SKETCH and BLOCK rows at most
     basis = np.vstack([np.zeros((1, basis.shape[1])), basis]) * weights[:, None]
     known = np.array([basis[row_of[part]].sum(0) for _, part, _ in items])
     known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-9)
@@ -363,9 +429,7 @@ def _search(sent, kind: str, min_cosine: float):
         weights = [_word_weights(part, idf) for _, part, _ in items]
         shares = [_least_share(part, answer, w) for (_, part, answer), w in zip(items, weights, strict=True)]
         least = min_cosine * np.sqrt(np.minimum(1.0, np.array([len(part) for _, part, _ in items]) / STRIDE)).astype(np.float32)
-        # Squared weights, of words outside the benchmark too, for the passages' full lengths (repeats apart).
-        square = (idf**2).astype(np.float32)
-        square[0] = square.max()
+        square = _square(idf)
         for batch in batches:
             found = {}
             for row, data in enumerate(batch.column(1)):

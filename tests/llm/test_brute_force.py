@@ -247,6 +247,41 @@ def test_leaks_agree_with_brute_force(spark, terms):
     assert len(got) == len(set(got)) and set(got) == plain_leaks(rows, [(i, part, answers[i]) for i, part in items])
 
 
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """300 documents of 300 words, each the only one with some of the benchmark's words: a bounded sample misses most of them."""
+    r, fitted, svd = random.Random(23), [], decontam.randomised_svd
+    monkeypatch.setattr(decontam, "randomised_svd", lambda rows, columns, *more: fitted.append((columns, rows.collect())) or svd(rows, columns, *more))
+    items = [(i, " ".join(f"only{i}w{k}" for k in range(20))) for i in range(300)]
+    rows = [(i, " ".join([f"only{i}w{i % 20}", *zipf_words(r, 3000, 299)])) for i in range(300)] + [(None, "only7w1 " * 3), (-5, "only8w2"), (900, None)]
+    assert decontam.find_leaks(spark.createDataFrame(rows, TEXT), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    (columns, rows), terms = fitted[0], sorted(f"only{i}w{k}" for i in range(300) for k in range(20))
+    times = Counter(terms[c - 1] for row in rows for c in row["cols"])
+    held = {f"only{i}w{i % 20}" for i in range(300)} | {"only7w1", "only8w2"}
+    assert columns == len(terms) and {t for t, n in times.items() if n > 1} == held  # beside its item's row
+
+
+def test_sketch_adds_up_every_passage(spark):
+    """Against the sums over all passages, one by one."""
+    r = np.random.default_rng(24)
+    texts = [(d, r.integers(0, 6, n).astype("<u2")) for d, n in enumerate([0, 1, 19, 20, 21, 40, 41, 60, 333, 70_000, 5])]
+    weights, square = np.array([1.0, 2, 3, 4]), np.array([9.0, 1, 4, 9, 16, 25])
+    row_of = np.array([0, 1, 2, 3, 4, 0])
+    plain = np.zeros((decontam.SKETCH, 4))
+    for d, ids in texts:
+        for p in range(max(-(-len(ids) // 20) - 1, len(ids) > 0)):
+            part, x = ids[20 * p : 20 * p + 40], (d + (p + 1) * 0x9E3779B97F4A7C15) % 2**64
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                x = (x ^ x >> shift) * by % 2**64
+            padded = np.concatenate([part, np.zeros(-len(part) % 20, int)]).astype(int)
+            for t in padded[row_of[padded] > 0]:
+                plain[x % decontam.SKETCH, row_of[t] - 1] += (1 - 2 * (x >> 63)) * weights[row_of[t] - 1] / np.sqrt(square[padded].sum())
+    sent = spark.sparkContext.broadcast((row_of, weights, square))
+    rows = spark.createDataFrame([(d, bytearray(ids.tobytes())) for d, ids in texts], "doc_id long, ids binary").repartition(3)
+    got = np.array([np.frombuffer(x["v"]) for x in decontam._sketch(rows, sent, "<u2").collect()])
+    plain = plain[plain.any(1)]
+    assert got.shape == plain.shape and np.allclose(np.array(sorted(got.tolist())), np.array(sorted(plain.tolist())), atol=1e-3)
+
+
 @given(st.lists(st.integers(0, 4), max_size=30), st.lists(st.integers(0, 4), max_size=30))
 def test_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
