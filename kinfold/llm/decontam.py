@@ -423,6 +423,16 @@ def verify(part: list[int], answer: list[int], weights: dict[int, float], least:
     return (share, common, answered) if enough else None
 
 
+def _chunk_sums(basis: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``at`` of a matrix, STRIDE by STRIDE, a few hundred rows at a time so that they stay in the cache."""
+    out, held = np.empty((len(at) // STRIDE, basis.shape[1]), basis.dtype), np.empty((20 * STRIDE, basis.shape[1]), basis.dtype)
+    for begin in range(0, len(at), len(held)):
+        part = at[begin : begin + len(held)]
+        rows = np.take(basis, part, axis=0, out=held[: len(part)], mode="clip")  # with another mode numpy copies once more
+        np.add.reduce(rows.reshape(-1, STRIDE, basis.shape[1]), axis=1, out=out[begin // STRIDE : begin // STRIDE + len(rows) // STRIDE])
+    return out
+
+
 def _search(sent, kind: str, min_cosine: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, spaces, postings = sent.value
@@ -444,7 +454,7 @@ def _search(sent, kind: str, min_cosine: float):
                 scale = 1 / np.sqrt(np.maximum(squares, 1e-9))[:, None]
                 cosines = []
                 for row_of, basis, known in spaces:
-                    chunks = np.add.reduce(basis[row_of[ids]].reshape(-1, STRIDE, basis.shape[1]), axis=1)
+                    chunks = _chunk_sums(basis, row_of[ids])
                     if len(chunks) > 1:
                         chunks = chunks[:-1] + chunks[1:]
                     cosines.append((chunks * scale) @ known)
