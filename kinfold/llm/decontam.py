@@ -344,7 +344,7 @@ def _space(texts: DataFrame, n_passages: int, items: list[Passage], idf: np.ndar
     basis = np.vstack([np.zeros((1, basis.shape[1])), basis]) * weights[:, None]
     known = np.array([basis[row_of[part]].sum(0) for _, part, _ in items])
     known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-9)
-    return row_of, basis.astype(np.float32), known.T.astype(np.float32)
+    return row_of, np.ascontiguousarray(basis, np.float32), known.T.astype(np.float32)
 
 
 def _word_weights(part: list[int], idf: np.ndarray) -> dict[int, float]:
