@@ -25,7 +25,7 @@ from .common import id_fold, unused
 
 DIMENSIONS = 1024
 SEED = 7
-#: Most labelled documents that prototypes are bundled from: those with the smallest hashes of their ids.
+#: Most labelled documents that ``query`` bundles prototypes from: those with the smallest hashes of their ids.
 MAX_LABELLED = 30_000
 #: n-gram vectors that a task keeps at hand.
 KEPT_GRAMS = 30_000
@@ -84,12 +84,11 @@ class GramTable:
         return counts.astype(np.float32) @ self.vectors[at]
 
 
-def learn_prototypes(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> dict[str, np.ndarray]:
+def learn_prototypes(docs: DataFrame, max_labelled: int | None = MAX_LABELLED) -> dict[str, np.ndarray]:
     """Prototypes of the languages of ``docs`` (text, lang), bundled in the tasks and summed by
-    Spark; what comes to the driver is one vector per language."""
+    Spark; what comes to the driver is one vector per language. None: of all labelled rows."""
     labelled = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = labelled.count()
-    if n > max_labelled:
+    if max_labelled is not None and (n := labelled.count()) > max_labelled:
         share = int(max_labelled / n * (1 << 32))
         labelled = labelled.filter(F.xxhash64(F.col("doc_id"), F.lit("fit")).bitwiseAND(F.lit(0xFFFFFFFF)) < share)
 
@@ -144,9 +143,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose text has a language, with their columns as they are: all but those found ``und``."""
+    """The documents whose text has a language, with their columns as they are: all but those found ``und``. Every
+    labelled row that is not held out is learned from."""
     key = unused(docs.columns, "_key")
-    prototypes = learn_prototypes(docs.filter(id_fold("doc_id", 4) != 2))
+    prototypes = learn_prototypes(docs.filter(id_fold("doc_id", 4) != 2), None)
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     unknown = identify(keyed.select(F.col(key).alias("doc_id"), "text"), prototypes).filter("lang_pred = 'und'")
     return keyed.join(unknown.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

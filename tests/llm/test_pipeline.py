@@ -52,6 +52,35 @@ def test_filters_keep_rows_whole(spark):
     assert key(decontam.keep_clean(docs, spark.createDataFrame([(1, "nothing like it at all anywhere")], "item_id long, text string"))) == key(docs)
 
 
+def test_languages_are_learned_from_every_labelled_document(spark):
+    """Of 60,000 labelled documents one has letters, and a share of them by their ids' hashes leaves it out: without it no language
+    is known and every document goes."""
+    left_out = F.xxhash64("doc_id", F.lit("fit")).bitwiseAND(F.lit(0xFFFFFFFF)) > int(0.9 * (1 << 32))
+    own = spark.range(100_000, 101_000).withColumnRenamed("id", "doc_id").filter(left_out & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).first()[0]
+    few = spark.createDataFrame([(own, "the only words that are labelled", "en"), (-1, "words without a label", None)], "doc_id long, text string, lang string")
+    docs = spark.range(80_000).select(F.col("id").alias("doc_id"), F.lit("1 2 3").alias("text"), F.lit("en").alias("lang")).unionByName(few)
+    assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} == {own, -1}
+
+
+def test_leaks_are_weighed_and_fitted_on_every_row(spark, tmp_path, monkeypatch):
+    """Rows with null and with equal ids too: each has one benchmark word that no other row has."""
+    fitted, svd, counted, count = [], decontam.randomised_svd, [], decontam.document_frequencies
+    monkeypatch.setattr(decontam, "randomised_svd", lambda rows, columns, *more: fitted.append(rows.collect()) or svd(rows, columns, *more))
+    monkeypatch.setattr(decontam, "document_frequencies", lambda *given: counted.append(count(*given)) or counted[-1])
+    items = [(i, " ".join(f"item{i}w{k}" for k in range(30))) for i in range(20)]
+    rows = [((None, 7, i)[i % 3], f"item{i // 30}w{i % 30} " + "plain " * (40 * (i % 60)), "en", "s") for i in range(600)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).count() == 600
+    (found, n, passages), terms = counted[0], sorted(w for _, text in items for w in text.split())
+    assert n == 600 and passages == sum(max(1, -(-len(t.split()) // 20) - 1) for _, t, *_ in rows) and found[1:].tolist() == [1] * len(terms)
+    times = [0] * len(terms)
+    for row in fitted[0]:
+        for c in row["cols"]:
+            times[c - 1] += 1
+    assert times == [2] * len(terms)  # the item's own row, and the sketch's with the document
+
+
 def test_stages_keep_columns_of_any_name(spark, tmp_path):
     rows = tables(spark, tmp_path) + [(200, "alpha beta gamma " * 7000, "en", "s0"), (None, "a text without an id", "en", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
