@@ -29,6 +29,8 @@ SEED = 7
 MAX_LABELLED = 30_000
 #: n-gram vectors that a task keeps at hand.
 KEPT_GRAMS = 30_000
+#: n-grams of labelled texts that are added up before they are bundled, about, and distinct ones bundled at once.
+TOGETHER, AT_ONCE = 1 << 19, 4096
 
 
 @lru_cache(1)
@@ -93,13 +95,27 @@ def learn_prototypes(docs: DataFrame, max_labelled: int | None = MAX_LABELLED) -
         labelled = labelled.filter(F.xxhash64(F.col("doc_id"), F.lit("fit")).bitwiseAND(F.lit(0xFFFFFFFF)) < share)
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums = GramTable(), {}
+        table, sums, held, n = GramTable(), {}, {}, 0
+
+        def add() -> None:
+            for lang, found in held.items():
+                grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([c for _, c in found]))
+                made = sums.setdefault(lang, np.zeros(DIMENSIONS))
+                for begin in range(0, len(grams), AT_ONCE):
+                    made += table.bundle(grams[begin : begin + AT_ONCE], counts[begin : begin + AT_ONCE])
+            held.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 grams, counts = trigrams(text)
                 if len(grams):
-                    made = sums.setdefault(lang, np.zeros(DIMENSIONS))
-                    made += table.bundle(grams, counts)
+                    held.setdefault(lang, []).append((grams, counts))
+                    n += int(counts.sum())
+                    if n >= TOGETHER:
+                        add()
+                        n = 0
+        add()
         for lang, made in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(np.rint(made).astype(np.int64))], ["lang", "i", "v"])
 

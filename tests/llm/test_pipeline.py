@@ -62,6 +62,17 @@ def test_languages_are_learned_from_every_labelled_document(spark):
     assert {r["doc_id"] for r in langid.keep_identified(docs).collect()} == {own, -1}
 
 
+def test_prototypes_are_the_sums_of_all_texts(spark):
+    """More n-grams than are added up together, and more distinct ones than are bundled at once; text by text they give the same."""
+    r = random.Random(31)
+    rows = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyzàéñß ") for _ in range(30_000)), ("fr", "de")[i % 2]) for i in range(40)] + [(50, "", "fr"), (51, "12", "es")]
+    got = langid.learn_prototypes(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), None)
+    table, plain = langid.GramTable(), {}
+    for _, text, lang in rows[:40]:
+        plain[lang] = plain.get(lang, 0) + table.bundle(*langid.trigrams(text)).astype(float)
+    assert list(got) == ["de", "fr"] and all((got[k] == plain[k]).all() for k in got)
+
+
 def test_leaks_are_weighed_and_fitted_on_every_row(spark, tmp_path, monkeypatch):
     """Rows with null and with equal ids too: each has one benchmark word that no other row has."""
     fitted, svd, counted, count = [], decontam.randomised_svd, [], decontam.document_frequencies
