@@ -50,13 +50,18 @@ LATER, LEAD, SAME = 0, 1, 2
 def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by a, s, doc_id, with a column ``kind``: the first row of a stretch's kind if its anchor
     has other kinds (LEAD), later ones with its id (SAME) or a larger one (LATER). The first row of an
-    anchor waits until another kind shows up; nothing else is held."""
+    anchor waits until another kind shows up; nothing else is held. A kind that shares neither hash of a column
+    ``near`` (see ``windows.neighbours``) with another of its anchor shares no window and is left out, if all
+    rows of the anchor are in one batch."""
     last_a = last_s = first_doc = waiting = None
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         a, s, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "s", "doc_id"))
+        names = batch.schema.names
+        near = batch.column("near").to_numpy() if "near" in names else None
+        batch = batch.select([c for c in names if c != "near"])
         new_a, new_s = np.append(True, a[1:] != a[:-1]), np.append(True, s[1:] != s[:-1])
         if last_a is not None:
             new_a[0], new_s[0] = a[0] != last_a, s[0] != last_s
@@ -73,7 +78,10 @@ def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if waiting is not None and others[0]:
                 yield waiting
             waiting = None
-            if not company[leads[-1]]:
+            alone = not company[leads[-1]]
+            if near is not None:
+                company[leads] &= ~_strangers(np.cumsum(new_a[leads]), near[leads], company[leads])
+            if alone:
                 waiting = _marked(batch.slice(int(leads[-1]), 1), np.array([LEAD], np.int8))
         keep = company | ~new
         if keep.any():
@@ -83,6 +91,20 @@ def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_a, last_s, first_doc = a[-1], s[-1], first[-1]
 
 
+def _strangers(group: np.ndarray, near: np.ndarray, company: np.ndarray) -> np.ndarray:
+    """Which kinds, of the groups but the first and the last, share no hash with another of their group."""
+    out = np.zeros(len(group), bool)
+    some = np.flatnonzero(company & (group > 0) & (group < group[-1]))
+    if len(some):
+        group, near = group[some].astype(np.int64), near[some]
+        known = np.zeros(len(some), bool)
+        for half in (near >> 16 & 0xFFFF, near & 0xFFFF):
+            _, back, times = np.unique(group << 16 | half, return_inverse=True, return_counts=True)
+            known |= (times[back] > 1) & (half > 0)
+        out[some] = ~known & ~np.isin(group, group[near == -1])
+    return out
+
+
 def _marked(batch: pa.RecordBatch, kind: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(kind)], [*batch.schema.names, "kind"])
 
@@ -123,11 +145,43 @@ def _pieces(group: np.ndarray, hashes: np.ndarray, docs: np.ndarray, at: np.ndar
     return np.append(piece, piece[later]), at[np.append(order, lead[later])]
 
 
+def _packed(group: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Blocks of about PACK symbols for parts sorted by group; those of one group share a block."""
+    new = np.append(True, group[1:] != group[:-1])[: len(group)]
+    ends = np.cumsum(size + 1)
+    nth = np.cumsum(new) - 1
+    return ends[np.append(np.flatnonzero(new)[1:], len(group)) - 1][nth] // PACK if len(group) else nth
+
+
+def _runs(at: np.ndarray, row: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows of one stretch that come equally often: index of the first, number."""
+    first = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]) | (times[1:] != times[:-1]))[: len(at)])
+    return first, np.diff(np.append(first, len(at)))
+
+
+def _alike(first: np.ndarray, n: np.ndarray, at: np.ndarray, hashes: np.ndarray, group: np.ndarray, docs: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """For each run the one with the smallest id among those of its group with equal bytes, or itself."""
+    head, tail = at[first], at[first + n - 1]
+    key = mixed(hashes[first].view(np.uint64) + np.uint64(3) * hashes[first + n - 1].view(np.uint64) + n.astype(np.uint64))
+    order = np.lexsort((docs, key, group))
+    new = np.append(True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1]))
+    lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = (n[order] == n[lead]) & (n[order] <= strings.shape[1] + 1)  # first and last window hold every byte
+    for end in (head, tail):
+        for i in range(0, len(order), 100_000):
+            here = slice(i, i + 100_000)
+            same[here] &= (strings[end[order[here]]] == strings[end[lead[here]]]).all(1)
+    out = np.arange(len(first))
+    out[order[same]] = lead[same]
+    return out
+
+
 def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """One mask per stretch: bit j is set if its window j is in a stretch of the same anchor with a
     smaller id. Rows are sorted by anchor. Stretches none of whose windows has a hash that comes again in
-    their group stay out. The others go into suffix arrays whole, small groups side by side, and window by
-    window in groups of more than BLOCK bytes; which are equal is told by their order there and their bytes."""
+    their group stay out. The others go into suffix arrays whole, small groups side by side. In groups of more than
+    BLOCK bytes only the runs of such windows do, cut where their windows come more or less often; runs of equal bytes are
+    represented once, by the smallest id. Where the rest is still too large it goes in window by window. What is equal is told by order there and by bytes."""
     buffer = np.frombuffer(b"".join(data), np.uint8)
     length = np.array([len(x) for x in data])
     ends = np.cumsum(length)
@@ -141,20 +195,43 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     hashes = window_sums(byte_hashes(buffer.tobytes()), window, GRAM)[inside]
     _, back, times = np.unique(mixed(hashes.view(np.uint64) + group[row[inside]].astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)), return_inverse=True, return_counts=True)
     keep = times[back] > 1
-    inside, hashes = inside[keep], hashes[keep]
+    inside, hashes, times = inside[keep], hashes[keep], times[back][keep]
     shares = np.zeros(len(data), bool)
     shares[row[inside]] = True
     total = np.bincount(group, np.where(shares, length + 1, 0))
     small = total <= BLOCK
-    packed = (np.cumsum(np.where(small, total, 0)) // PACK).astype(np.int64)[group]
     some = np.flatnonzero(small[group] & shares)
-    block, start, size = packed[some], begins[some], length[some]
+    block, start, size = _packed(group[some], length[some]), begins[some], length[some]
     large = ~small[group[row[inside]]]
+    strings = np.lib.stride_tricks.sliding_window_view(buffer, window)
     if large.any():
         inside, hashes = inside[large], hashes[large]
-        piece, at = _pieces(group[row[inside]], hashes, docs[row[inside]], inside, window)
-        by = np.argsort(piece, kind="stable")
-        block, start, size = np.append(block, piece[by] + packed[-1] + 1), np.append(start, at[by]), np.append(size, np.full(len(at), window))
+        first, n = _runs(inside, row, times[large])
+        lead = _alike(first, n, inside, hashes, group[row[inside[first]]], docs[row[inside[first]]], strings)
+        heads, offset = row[inside[first]], inside[first] - begins[row[inside[first]]]
+        bits = ((np.int64(1) << n) - 1) << offset
+        copy = lead != np.arange(len(lead))
+        later = copy & (docs[heads] > docs[heads[lead]])
+        np.bitwise_or.at(masks, heads[later], bits[later])
+        copies, lead = np.flatnonzero(copy & ~later), lead[copy & ~later]
+        kept = np.repeat(~copy, n)
+        inside, hashes = inside[kept], hashes[kept]
+        _, back, times = np.unique(mixed(hashes.view(np.uint64) + group[row[inside]].astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)), return_inverse=True, return_counts=True)
+        inside, hashes = inside[times[back] > 1], hashes[times[back] > 1]
+        to, m = _runs(inside, row, np.ones(len(inside)))
+        size_of = m + window - 1
+        whole = np.bincount(group[row[inside[to]]], size_of + 1, len(total)) <= BLOCK
+        mine = np.flatnonzero(whole[group[row[inside[to]]]])
+        top = block[-1] + 1 if len(block) else 0
+        block = np.append(block, top + _packed(group[row[inside[to[mine]]]], size_of[mine]))
+        start, size = np.append(start, inside[to[mine]]), np.append(size, size_of[mine])
+        one = ~whole[group[row[inside]]]
+        if one.any():
+            inside, hashes = inside[one], hashes[one]
+            piece, at = _pieces(group[row[inside]], hashes, docs[row[inside]], inside, window)
+            by = np.argsort(piece, kind="stable")
+            top = block[-1] + 1 if len(block) else 0
+            block, start, size = np.append(block, top + piece[by]), np.append(start, at[by]), np.append(size, np.full(len(at), window))
     if not len(block):
         return masks
     source = np.repeat(start - np.append(0, np.cumsum(size + 1)[:-1]), size + 1) + np.arange(int((size + 1).sum()))
@@ -168,7 +245,6 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     order = order[room[order] >= window]
     of = np.repeat(block, size + 1)[order]
     source = source[order]
-    strings = np.lib.stride_tricks.sliding_window_view(buffer, window)
     equal = np.zeros(len(order), bool)
     for i in range(1, len(order), 100_000):
         to = min(len(order), i + 100_000)
@@ -178,6 +254,9 @@ def shared_windows(data: list[bytes], anchors: np.ndarray, docs: np.ndarray, win
     least = np.repeat(np.minimum.reduceat(ids, begin), np.diff(np.append(begin, len(ids))))
     gone = source[least < ids]
     np.bitwise_or.at(masks, row[gone], np.int64(1) << (gone - begins[row[gone]]))
+    if large.any():  # runs with the id of their representative go with it
+        found = (masks[heads[lead]] & bits[lead]) >> offset[lead] << offset[copies]
+        np.bitwise_or.at(masks, heads[copies], found)
     return masks
 
 
@@ -211,8 +290,8 @@ def earlier_windows(docs: DataFrame, unique: bool, window: int = WINDOW, cap: in
     spark = docs.sparkSession
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = docs.select("key", F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = all_stretches(data, ["doc_id"] if unique else ["doc_id", "key"], byte_hashes, window, GRAM)
-    found = stage(found.mapInArrow(kinds, ", ".join(f"{c} long" for c in found.columns) + ", kind tinyint"), "stretches")
+    found = all_stretches(data, ["doc_id"] if unique else ["doc_id", "key"], byte_hashes, window, GRAM, near=True)
+    found = stage(found.mapInArrow(kinds, ", ".join(f"{c} long" for c in found.columns if c != "near") + ", kind tinyint"), "stretches")
     if unique:
         found = found.withColumn("key", F.col("doc_id"))
     parts = found.filter(F.col("kind") == LEAD).groupBy("key").agg(F.collect_list(F.struct("a", "s", F.col("doc_id").alias("d"), "at")).alias("parts"))

@@ -115,6 +115,32 @@ def self_repeats(hashes: np.ndarray, window: int, k: int, anchors: np.ndarray, s
     return out
 
 
+def neighbours(hashes: np.ndarray, window: int, k: int, anchors: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two hashes of 16 bits in one number for each stretch: of the k tokens before its anchor and of the k after it, 0 for those
+    that don't lie within it. A window of 3 k - 1 tokens or more holds one or the other, so stretches of one anchor that share
+    neither share no window. -1: the anchor may stand in a stretch of the text more than once, which tells nothing."""
+    w = window - k + 1
+    if window < 3 * k - 1 or not len(anchors):
+        return np.full(len(anchors), -1, np.int32)
+    # A gram is the smallest of some window if the largest of all windows' smallest hashes around it is its own.
+    pad = np.full(w - 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+    at = np.flatnonzero(sliding_min(np.concatenate([pad, ~np.repeat(anchors.view(np.uint64), sizes), pad]), w) == ~hashes)
+    once = None
+    if len(at) != len(anchors) or sizes.max() > w:  # grams that repeat: each is looked for
+        at, once = np.empty_like(starts), np.empty(len(starts), bool)
+        padded = np.append(hashes, np.zeros(MOST + window - k, np.uint64))
+        for i in range(0, len(anchors), 5000):
+            here = slice(i, i + 5000)
+            stands = np.lib.stride_tricks.sliding_window_view(padded, MOST + window - k)[starts[here]] == anchors[here, None].view(np.uint64)
+            stands &= np.arange(stands.shape[1]) < (sizes[here] + window - k)[:, None]
+            at[here], once[here] = starts[here] + stands.argmax(1), stands.sum(1) == 1
+    before, after = at - k, at + k
+    before = np.where(before >= starts, np.maximum(hashes[np.maximum(before, 0)] >> np.uint64(48), np.uint64(1)), np.uint64(0))
+    after = np.where(after < starts + sizes + window - k, np.maximum(hashes[np.minimum(after, len(hashes) - 1)] >> np.uint64(48), np.uint64(1)), np.uint64(0))
+    out = (before << np.uint64(16) | after).astype(np.uint32).view(np.int32)
+    return out if once is None else np.where(once, out, np.int32(-1))
+
+
 def window_hashes(hashes: np.ndarray, window: int, k: int, start: int, size: int) -> np.ndarray:
     """Hash of each window of one stretch; with the anchor it stands for the window's content."""
     return window_sums(hashes[start : start + size + window - k], window, k)
@@ -137,18 +163,18 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     return rows.withColumn("key", F.xxhash64("doc_id", "text") if odd else F.col("doc_id")), not odd
 
 
-def _stretch_rows(hashes_of: Callable, window: int, k: int, own: bool):
+def _stretch_rows(hashes_of: Callable, window: int, k: int, more: Callable | None, name: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
-            names, texts = [*batch.schema.names[:-1], "a", "s", "at", "own"], batch.column(batch.num_columns - 1)
+            names, texts = [*batch.schema.names[:-1], "a", "s", "at", name], batch.column(batch.num_columns - 1)
             rows, cols, size = [], [], 0
             for row in range(batch.num_rows):
                 text = texts[row].as_py()
                 if len(h := hashes_of(text)) >= window - k + 1:
                     a, s, start, n = stretches(h, window, k)
                     rows.append((row, len(a)))
-                    cols.append((a, s, start << 6 | n, *([self_repeats(h, window, k, a, start, n)] if own else [])))
+                    cols.append((a, s, start << 6 | n, *([more(h, window, k, a, start, n)] if more else [])))
                 size += len(text)
                 if cols and (size >= SLICE or row == batch.num_rows - 1):
                     found = [np.concatenate(x) for x in zip(*cols, strict=True)]
@@ -160,12 +186,13 @@ def _stretch_rows(hashes_of: Callable, window: int, k: int, own: bool):
     return scan
 
 
-def all_stretches(docs: DataFrame, ids: list[str], hashes_of: Callable, window: int, k: int, own: bool = False) -> DataFrame:
+def all_stretches(docs: DataFrame, ids: list[str], hashes_of: Callable, window: int, k: int, own: bool = False, near: bool = False) -> DataFrame:
     """``ids`` (longs), a, s, at: the stretches of every text, dealt out and sorted by anchor, content
     and ids. ``at`` holds the first window and, in its last six bits, their number. ``own``: whether a
-    stretch repeats its anchor itself."""
-    names = [f"{c} long" for c in (*ids, "a", "s", "at")] + ["own boolean"] * own
-    rows = docs.select(*ids, "text").mapInArrow(_stretch_rows(hashes_of, window, k, own), ", ".join(names))
+    stretch repeats its anchor itself. ``near``, in its place: the hashes of ``neighbours``."""
+    names = [f"{c} long" for c in (*ids, "a", "s", "at")] + (["own boolean"] if own else ["near int"] * near)
+    more = self_repeats if own else neighbours if near else None
+    rows = docs.select(*ids, "text").mapInArrow(_stretch_rows(hashes_of, window, k, more, "own" if own else "near"), ", ".join(names))
     return rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a", "s", *ids, "at")
 
 
