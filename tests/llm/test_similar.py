@@ -135,3 +135,44 @@ def test_rows_without_ids_and_with_equal_ids(spark):
     kept = sorted((x["doc_id"] or 0, x["text"] or "") for x in similar.keep_first(spark.createDataFrame(rows, TEXT)).collect())
     assert kept == sorted([(0, one), (0, ""), (3, one), (3, one), (7, two), (7, two), (8, "")])
     assert similar.keep_first(spark.createDataFrame([], TEXT)).count() == 0
+
+
+def test_a_pair_whose_forest_leads_through_another_text(spark):
+    """By bits a and b are nearer to c than to each other; exactly they are alike, and neither is like c."""
+    r = random.Random(17)
+    words = say(r, 300)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed(r, words, 2))), (3, " ".join(say(r, 300)))], TEXT)
+    c = np.random.default_rng(5).integers(0, 2, 512, dtype=np.uint8)
+    a, b = c.copy(), c.copy()
+    a[:60] ^= 1
+    b[45:105] ^= 1
+    least = bytes(range(64))
+    nodes = [(n, np.packbits(x).tobytes(), least) for n, x in ((1, a), (2, b), (3, c))]
+    found = similar.links(docs, spark.createDataFrame(nodes, "node long, fp binary, least binary")).collect()
+    assert {(x["u"], x["v"]) for x in found} == {(1, 2)}
+
+
+def test_no_pair_of_a_list_is_left_out(spark, monkeypatch):
+    """Lists in pieces; copies around the threshold, without their original: as all pairs of all lists that pass the limit of bits, each checked exactly."""
+    monkeypatch.setattr(similar, "PIECE", 150)
+    r, rows = random.Random(21), []
+    for family in range(2):
+        words = say(r, 300)
+        rows += [(1000 * family + i, " ".join(changed(r, words, 4))) for i in range(200)]
+    docs = spark.createDataFrame(rows, TEXT)
+    sets, made = {d: plain_set(t) for d, t in rows}, similar.sketches(docs).collect()
+    nodes, fps = np.array([x["doc_id"] for x in made]), np.frombuffer(b"".join(x["fp"] for x in made), np.uint8).reshape(-1, 64)
+    least = np.frombuffer(b"".join(x["least"] for x in made), np.uint64).reshape(-1, 8)
+    most = int(similar.expected_bits(0.8) + 2.5 * similar._spread(0.8))
+    group = {d: d for d in sets}
+    find = lambda x: x if group[x] == x else find(group[x])
+    for i in range(len(nodes)):
+        same = fps[i + 1 :] == fps[i]
+        both = (least[i + 1 :] == least[i])[:, np.arange(similar.LISTS) % 8] & same[:, similar._CHOICES].all(2)
+        near = both.any(1) & (same.sum(1) >= 8) & (np.unpackbits(fps[i + 1 :] ^ fps[i], axis=1).sum(1) <= most)
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            x, y = sets[a := int(nodes[i])], sets[b := int(nodes[j])]
+            if len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((find(a), find(b)))
+                group[high] = low
+    assert groups(spark, rows) == {d: find(d) for d in sets}
